@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -48,6 +49,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in the shared checkpoint folder, which is smaller on disk. It
+    stays until dropped() or the end of the driver."""
+    spark = df.sparkSession
+    ready(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lodestream-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestream_path = path
+    if not _tables:
+        atexit.register(_drop_tables)
+    _tables[path] = spark
+    return out
+
+
+_tables: dict[str, SparkSession] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for df in tables:
+        path = df._lodestream_path
+        spark = _tables.pop(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _drop_tables() -> None:
+    for path, spark in list(_tables.items()):
+        if spark.sparkContext._jsc is not None:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so that others can't clash; a column that is missing counts as null."""
     kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, exact_dedup, license_scan, packing, quality_rules, simhash, substring_dedup
+from . import bpe_automaton, exact_dedup, language_model, license_scan, packing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for low quality, 1 for good but toxic, 2 for good and clean."""
+    grade = F.col("quality") * (2 - F.col("toxic"))
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade, levels=3)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -94,6 +100,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -103,7 +117,9 @@ FROM n WINDOW w AS (PARTITION BY norm)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_license_scan, op3_quality_rules, op4_bpe_automaton, op5_best_fit_packing, op6_substring_dedup, op7_simhash, op8_exact_dedup)}
+    every = (op1_quality_classifier, op2_license_scan, op3_quality_rules, op4_bpe_automaton, op5_best_fit_packing)
+    every += (op6_substring_dedup, op7_simhash, op8_exact_dedup, op9_lm_scoring, op10_toxicity)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
