@@ -26,52 +26,72 @@ any; rows repeated with one doc_id count as separate places; an empty table give
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, fresh, map_texts, words_of
+from .common import columns, dropped, fresh, map_texts, written
 
 WINDOW, KMER = 35, 12
-KEPT = 500_000
+#: A fixed random number for each byte.
+_BYTES = np.random.default_rng(35).integers(0, 1 << 64, 256, np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ROOTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _BACK = tuple(np.uint64(pow(int(r), -1, 1 << 64)) for r in _ROOTS)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _word_hashes(texts: list[list[str]]) -> np.ndarray:
-    if len(_hashes) > KEPT:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def _hashes(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in UTF-8 bytes that hold texts one after the other, and the
+    number of words in each text; start: where each text starts, and the end of the last."""
+    gap = _SPACE[raw]
+    opens = ~gap
+    opens[1:] &= gap[:-1]
+    inside = start[:-1][np.diff(start) > 0]
+    opens[inside] = ~gap[inside]
+    at = np.flatnonzero(opens)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(start) - 1, np.int64)
+    power = np.full(len(raw), _ROOTS[0])
+    power[0] = 1
+    value = _BYTES[raw]
+    value[gap] = 0
+    value *= np.cumprod(power, out=power)
+    back = np.full(len(raw), _BACK[0])
+    back[0] = 1
+    words = _mix(np.add.reduceat(value, at) * np.cumprod(back, out=back)[at])
+    return words, np.diff(np.searchsorted(at, start))
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a column of texts, and each text's number of words (null: none)."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    start = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[start[0] : start[-1]] if data is not None and len(start) else np.zeros(0, np.uint8)
+    return _hashes(raw, start - start[0])
+
+
 class Spans:
-    """128-bit hashes of any span of a sequence of word hashes, from running sums."""
+    """Hashes of any span of a sequence of word hashes, 64 bits for each part, from running sums."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, parts: int = 2):
         n = len(words)
         self.sums, self.back = [], []
-        for part, root, back in zip((words, _mix(words)), _ROOTS, _BACK, strict=True):
+        for part, root, back in list(zip((words, _mix(words)), _ROOTS, _BACK, strict=True))[:parts]:
             power = np.ones(n + 1, np.uint64)
             power[1:] = root
             undo = np.ones(n + 1, np.uint64)
@@ -85,13 +105,12 @@ class Spans:
         return [_mix((s[end] - s[start]) * b[start] + np.asarray(salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64) for s, b in zip(self.sums, self.back, strict=True)]
 
 
-def fragments(texts: list[list[str]], window: int = WINDOW, kmer: int = KMER, spans: bool = True):
-    """(text, start, windows, minimizer, two hashes) of each fragment, as arrays."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    words, width = _word_hashes(texts), window - kmer + 1
+def fragments(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, kmer: int = KMER, spans: bool = True):
+    """(text, start, windows, minimizer, hash of all its words) of each fragment, as arrays."""
+    width = window - kmer + 1
     m = len(words) - window + 1
     if m <= 0:
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 5
     k = np.zeros(len(words) - kmer + 1, np.uint64)
     for i in range(kmer):
         k = k * _ROOTS[0] + words[i : i + len(k)]
@@ -105,72 +124,97 @@ def fragments(texts: list[list[str]], window: int = WINDOW, kmer: int = KMER, sp
     owner = np.repeat(np.arange(len(sizes)), sizes)[:m]
     fits = np.flatnonzero(np.arange(m) + window <= ends[owner])
     if not len(fits):
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 5
     new = np.ones(len(fits), bool)
     new[1:] = (at[fits[1:]] != at[fits[:-1]]) | (owner[fits[1:]] != owner[fits[:-1]])
     first = np.flatnonzero(new)
     begin, count = fits[first], np.diff(np.append(first, len(fits)))
     text = owner[begin]
-    hashes = Spans(words).of(begin, begin + count + window - 1, (at[begin] - begin) * 4096 + count) if spans else [None, None]
-    return [text, begin - (ends - sizes)[text], count, k[at[begin]].view(np.int64), *hashes]
+    whole = Spans(words, 1).of(begin, begin + count + window - 1, (at[begin] - begin) * 4096 + count)[0] if spans else None
+    return [text, begin - (ends - sizes)[text], count, k[at[begin]].view(np.int64), whole]
+
+
+def _named(docs: DataFrame, id_: str = "id", row: str = "row") -> DataFrame:
+    """Adds two columns that name a document: id, and row, which is 0 unless doc_ids repeat, and
+    then a hash that tells texts apart (rows with one doc_id and one text have one name)."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    unique = docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    which = F.lit(0).cast("long") if unique else F.xxhash64(text, doc_id.isNull())
+    return docs.withColumns({id_: F.coalesce(doc_id, F.lit(-1 << 63)), row: which})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash that tells rows with one doc_id but different texts apart, text."""
-    rows = columns(docs, "doc_id", "text")
-    return rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("row"), "text", "doc_id")
+    return _named(columns(docs, "doc_id", "text"))
 
 
 def _minimizers(window: int, kmer: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = fragments([words_of(t.as_py()) for t in batch.column(0)], window, kmer, spans=False)
+        found = fragments(*_words(batch.column(0)), window, kmer, spans=False)
         value, n = np.unique(found[3], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], ["minimizer", "n"])
 
 
 def _fragments(window: int, kmer: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, start, n, minimizer, a, b = fragments([words_of(t.as_py()) for t in batch.column(2)], window, kmer)
+        text, start, n, minimizer, whole = fragments(*_words(batch.column(2)), window, kmer)
         take = pa.array(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(minimizer), pa.array(a), pa.array(b)], ["id", "row", "start", "windows", "minimizer", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int8)), pa.array(minimizer), pa.array(whole)], ["id", "row", "start", "windows", "minimizer", "whole"])
+
+
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are compressed before they are shuffled."""
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary())
+        yield batch.set_column(2, "text", pa.array([None if t is None else zlib.compress(t, 1) for t in texts.to_pylist()], pa.binary()))
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [b"" if t is None else zlib.decompress(t) for t in column.to_pylist()]
 
 
 def _edges(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Opens the fragments listed in a document into their windows, hashed over all their words."""
-    names = ["minimizer", "h1", "h2", "copies", "place", "w1", "w2"]
+    names = ["minimizer", "whole", "copies", "place", "w1", "w2"]
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for text, found in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            spans = Spans(_word_hashes([words_of(text.as_py())]))
-            n = np.array([f["windows"] for f in found])
-            place = np.concatenate([np.arange(k) for k in n])
-            at = np.repeat([f["start"] for f in found], n) + place
-            for column, value in zip(out, [*(np.repeat(np.array([f[c] for f in found], np.int64), n) for c in names[:4]), place.astype(np.int32), *spans.of(at, at + window)], strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int32 if x == "place" else np.int64)) for x, c in zip(names, out, strict=True)], names)
-
-
-def repeated_fragments(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """id, row, start, mask: bit i of mask says that the window starting at start + i is repeated."""
+        words, sizes = _words(pa.array(_texts(batch.column(0)), pa.binary()))
+        spans, first = Spans(words), np.cumsum(sizes) - sizes
+        found = batch.column(1)
+        of = found.flatten()
+        if not len(of):
+            continue
+        text = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
+        part = {x: of.field(x).to_numpy(zero_copy_only=False) for x in ("minimizer", "whole", "copies", "start", "windows")}
+        n = part["windows"].astype(np.int64)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(first[text] + part["start"], n) + place
+        w1, w2 = spans.of(at, at + window)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part[x], n)) for x in names[:3]), pa.array(place.astype(np.int8)), pa.array(w1), pa.array(w2)], names)
+
+
+def repeated_fragments(keyed: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """id, row, start, mask: bit i of mask says that the window starting at start + i is repeated.
+    keyed: rows with id, row and text."""
     if not 0 <= window - kmer < 62:
         raise ValueError("a fragment has window - kmer + 1 windows at most, and one bit for each")
-    keyed = _keyed(docs)
     counted = map_texts(keyed.select("text"), partial(_minimizers, window, kmer), "minimizer long, n long")
-    often = cut(counted.groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))
-    every = map_texts(keyed.select("id", "row", "text"), partial(_fragments, window, kmer), "id long, row long, start int, windows int, minimizer long, h1 long, h2 long")
-    some = cut(every.join(often, "minimizer"))
-    key = ["minimizer", "h1", "h2"]
-    kinds = cut(some.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "row", "start", "windows")).alias("at")))
-    branch = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = cut(kinds.join(branch, "minimizer"))
-    whole = kinds.where("kinds = 1").select(*key, F.expr("shiftleft(1L, at.windows) - 1").alias("mask"))
-    opened = kinds.where("kinds > 1").groupBy("at.id", "at.row").agg(F.collect_list(F.struct(*key, "copies", "at.start", "at.windows")).alias("found"))
+    often = written(counted.groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))
+    every = map_texts(keyed.select("id", "row", "text"), partial(_fragments, window, kmer), "id long, row long, start int, windows byte, minimizer long, whole long")
+    some = written(every.join(often, "minimizer"))
+    dropped(often)
+    key = ["minimizer", "whole"]
+    kinds = written(some.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "row", "start", "windows")).alias("at")))
+    branch = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("minimizer")
+    straight = kinds.join(branch, "minimizer", "left_anti").select(*key, F.expr("shiftleft(1L, cast(at.windows AS int)) - 1").alias("mask"))
+    opened = kinds.join(branch, "minimizer").groupBy("at.id", "at.row").agg(F.collect_list(F.struct(*key, "copies", "at.start", "at.windows")).alias("found"))
     # A row that is repeated whole opens its fragments twice; each of its windows is repeated anyway.
-    texts = keyed.join(opened, ["id", "row"]).select("text", "found")
-    edges = cut(map_texts(texts, partial(_edges, window), "minimizer long, h1 long, h2 long, copies long, place int, w1 long, w2 long"))
+    pressed = map_texts(keyed.select("id", "row", "text"), _pressed, "id long, row long, text binary")
+    texts = pressed.join(opened, ["id", "row"]).select("text", "found")
+    edges = written(map_texts(texts, partial(_edges, window), "minimizer long, whole long, copies long, place byte, w1 long, w2 long"))
     twice = edges.groupBy("minimizer", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
-    parts = edges.join(twice, ["minimizer", "w1", "w2"]).groupBy(*key).agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
-    return some.join(whole.unionByName(parts), key).select("id", "row", "start", "mask")
+    parts = edges.join(twice, ["minimizer", "w1", "w2"]).groupBy(*key).agg(F.expr("bit_or(shiftleft(1L, cast(place AS int)))").alias("mask"))
+    found = written(some.join(straight.unionByName(parts), key).groupBy("id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("found")))
+    dropped(some, kinds, edges)
+    return found
 
 
 def _removed(window: int, found: list[dict] | None, n: int) -> np.ndarray:
@@ -182,44 +226,41 @@ def _removed(window: int, found: list[dict] | None, n: int) -> np.ndarray:
     return np.cumsum(gone)[:n] > 0
 
 
-def mark(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """doc_id, text and found, the repeated fragments of each document (null: none)."""
-    keyed = _keyed(docs)
-    found = repeated_fragments(docs, window, kmer).groupBy("id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
-    return keyed.join(found, ["id", "row"], "left").select("doc_id", "text", "found")
-
-
 def remove(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, digests: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans (the removed words as [start, end) pairs) and kept, the
     words that stay joined by one space; with digests, the SHA-256 of kept instead of both."""
+    keyed = _keyed(docs)
+    found = repeated_fragments(keyed, window, kmer)
+    pressed = map_texts(keyed.select("id", "row", "text", "doc_id"), _pressed, "id long, row long, text binary, doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, lost, spans, kept = [], [], [], []
-            for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                gone = _removed(window, found, len(words))
+            for text, fragments_of in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                words = text.split()
                 n.append(len(words))
+                gone = _removed(window, fragments_of, len(words))
                 lost.append(int(gone.sum()))
-                stays = " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if lost[-1] else words)
-                kept.append(hashlib.sha256(stays.encode()).hexdigest() if digests else stays)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                stays = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if lost[-1] else words)
+                kept.append(hashlib.sha256(stays).hexdigest() if digests else stays.decode("utf-8"))
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))) if lost[-1] else np.zeros(0, int)
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
             last = [pa.array(kept, pa.string())] if digests else [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), *last], names)
 
     names = ["doc_id", "n_words", "n_removed", *(["kept_sha256"] if digests else ["spans", "kept"])]
     kind = "kept_sha256 string" if digests else "spans array<struct<start:long,end:long>>, kept string"
-    return map_texts(mark(docs, window, kmer), run, f"doc_id long, n_words long, n_removed long, {kind}")
+    joined = pressed.join(found, ["id", "row"], "left").select("doc_id", "text", "found")
+    return map_texts(joined, run, f"doc_id long, n_words long, n_removed long, {kind}")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """The documents, whole rows, with the repeated passages out of their texts; a text that
     loses nothing stays as it is, and n_chars follows the text."""
-    found = repeated_fragments(docs, window, kmer).groupBy("id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
     a, b, c = fresh("id"), fresh("row"), fresh("found")
-    keyed = docs.withColumns({a: F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), b: F.xxhash64(docs["text"].cast("string"), docs["doc_id"].isNull())})
-    joined = keyed.join(found.toDF(a, b, c), [a, b], "left")
+    named = _named(docs, a, b)
+    found = repeated_fragments(named.select(F.col(a).alias("id"), F.col(b).alias("row"), F.col("text").cast("string").alias("text")), window, kmer)
+    joined = named.join(found.toDF(a, b, c), [a, b], "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +268,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
             texts = batch.column(i).to_pylist()
             for k, fragments_of in enumerate(batch.column(j).to_pylist()):
                 if fragments_of:
-                    words = words_of(texts[k])
+                    words = texts[k].encode("utf-8").split()
                     gone = _removed(window, fragments_of, len(words)).tolist()
-                    texts[k] = " ".join([w for w, g in zip(words, gone, strict=True) if not g])
+                    texts[k] = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode("utf-8")
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type)).drop_columns([c])
 
     out = map_texts(joined.drop(a, b), clean, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
