@@ -363,7 +363,7 @@ class Planner:
 
     def _tables(self, parts: list[Token], stream_type: str) -> list[tuple[int, int, str, str]]:
         """(start, end, type, name) of each stream read, by its place; names of CTEs are none."""
-        ctes = {parts[k - 1].value.lower() for k in range(1, len(parts) - 1) if parts[k].word == "AS" and parts[k + 1].text == "(" and parts[0].word == "WITH"}
+        ctes = self._ctes(parts) if parts[0].word == "WITH" else set()
         found = []
         k = 0
         while k < len(parts):
@@ -385,6 +385,20 @@ class Planner:
             k += 1
         return found
 
+    @staticmethod
+    def _ctes(parts: list[Token]) -> set[str]:
+        """Lower-case names before AS (, with or without a list of columns in between."""
+        out = set()
+        for k in range(1, len(parts) - 1):
+            if parts[k].word == "AS" and parts[k + 1].text == "(":
+                at = k - 1
+                if parts[at].text == ")":
+                    while at > 0 and parts[at].text != "(":
+                        at -= 1
+                    at -= 1
+                out.add(parts[at].value.lower())
+        return out
+
     @staticmethod
     def _in_call(parts: list[Token], at: int) -> bool:
         """Is this FROM the one of EXTRACT(x FROM y), TRIM(x FROM y) or the like?"""
@@ -502,13 +516,17 @@ class Planner:
         found: dict[str, str] = {}
 
         def take(args: list[list[Token]]) -> list[Token]:
-            key = render(args[0])
+            inner = args[0]
+            while inner[0].value.lower() == "flatten" and close(inner, 1) == len(inner) - 1:
+                inner = inner[2:-1]
+            # a SQL function can't stand in a generator, so this one is written out
+            written_out = inner[0].value.lower() == "cast_to_arr" and close(inner, 1) == len(inner) - 1
+            key = f"from_json({render(inner[2:-1])}, 'array<string>')" if written_out else render(inner)
             found.setdefault(key, f"__each_{len(found)}")
             return [Token("name", found[key])]
 
         chosen = rewrite_calls(parts[:at], {"unnest": take})
         views = " ".join(f"LATERAL VIEW explode({key}) AS {name}" for key, name in found.items())
-        views = views.replace("flatten(", "(")
         end = min([k for w in _CLAUSES if (k := _find(parts, w, at)) > 0], default=len(parts))
         return [*chosen, *parts[at:end], *done(views), *parts[end:]]
 

@@ -12,7 +12,7 @@ COMPARISONS = {"==", "!=", "<", "<=", ">", ">="}
 SETS = {"and", "or", "unless"}
 _UNIT = {"ms": 1000, "s": 10**6, "m": 60 * 10**6, "h": 3600 * 10**6, "d": 86400 * 10**6, "w": 7 * 86400 * 10**6, "y": 365 * 86400 * 10**6}
 _LEX = re.compile(
-    r"""(?P<space>\s+|\#[^\n]*)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)|(?P<duration>(?:\d+(?:ms|[smhdwy]))+(?![\w.]))|(?P<number>0x[0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<name>[A-Za-z_:][\w:.]*)|(?P<op>=~|!~|==|!=|<=|>=|[-+*/%^<>=(){}\[\],:@])""",
+    r"""(?P<space>\s+|\#[^\n]*)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)|(?P<duration>(?:\d+(?:ms|[smhdwy]))+(?![\w.]))|(?P<number>0x[0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<name>[A-Za-z_][\w:.]*)|(?P<op>=~|!~|==|!=|<=|>=|[-+*/%^<>=(){}\[\],:@])""",
     re.S,
 )
 
