@@ -57,7 +57,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "spath": ("j STRING, p STRING", "STRING", "get_json_object(j, concat('$.', p))"),
     "cast_to_arr": ("s STRING", "ARRAY<STRING>", f"CASE WHEN coalesce(size({_ARRAY}), 0) <= 0 THEN NULL ELSE filter({_ARRAY}, x -> coalesce(x, 'null') <> '') END"),
     "to_array_string": ("a ARRAY<STRING>", "STRING", "to_json(filter(a, x -> x IS NOT NULL))"),
-    "string_to_array_v2": ("s STRING, d STRING", "ARRAY<STRING>", r"CASE WHEN s = '' THEN array(s) WHEN d IS NULL THEN filter(split(s, ''), x -> x <> '') WHEN d = '' THEN array(s) ELSE filter(split(s, concat('[', regexp_replace(d, '([\\[\\]\\\\^&-])', '\\\\\\\\$1'), ']')), x -> x <> '') END"),
+    "string_to_array_v2": ("s STRING, d STRING", "ARRAY<STRING>", r"CASE WHEN s = '' THEN array(s) WHEN d IS NULL THEN filter(split(s, ''), x -> x <> '') WHEN d = '' THEN array(s) ELSE filter(split(s, concat('[', regexp_replace(d, '([\\[\\]\\\\^&-])', '\\\\$1'), ']')), x -> x <> '') END"),
     "time_range": ("t BIGINT, a STRING, b STRING", "BOOLEAN", f"CASE WHEN {_BOUND.format('a')} IS NULL OR {_BOUND.format('b')} IS NULL THEN NULL ELSE ({_BOUND.format('a')} <= 0 OR t >= {_BOUND.format('a')}) AND ({_BOUND.format('b')} <= 0 OR t < {_BOUND.format('b')}) END"),
     "epoch_micros": ("t BIGINT", "BIGINT", _MICROS),
     # the planner turns date_format(t, strftime, zone) into this, with a Java pattern

@@ -145,6 +145,10 @@ def custom_values(parts: list[Token]) -> list[Token]:
     k = 0
     while k < len(parts):
         t, nxt = parts[k], parts[k + 1 : k + 5]
+        if t.word in KEYWORDS:
+            out.append(t)
+            k += 1
+            continue
         if t.kind in ("name", "quoted") and len(nxt) > 1 and nxt[0].text == "=" and nxt[1].kind == "string" and nxt[1].value.endswith(CUSTOM):
             value, used = nxt[1].value, 3
         elif t.kind in ("name", "quoted") and len(nxt) > 3 and nxt[0].word == "IN" and nxt[1].text == "(" and nxt[2].kind == "string" and nxt[3].text == ")" and nxt[2].value.endswith(CUSTOM):
