@@ -18,57 +18,57 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, cut, map_texts
+from .bpe_automaton import byte_symbols
+from .common import columns, map_texts, written
 
 CAPACITY = 2048
 SHARDS = 64
-KEPT = 300_000
 
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-_W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LONG = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
+#: The split that byte-level BPE files of this kind ask for with use_regex.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class ByteTokenizer:
-    """The tokenizers library, asked once for each distinct pre-split piece of text."""
+    """The ids of the tokenizers library for a byte-level BPE file. Its vocabulary, whose ids are
+    in the order of the merges, is run by tiktoken, which gives the same ids several times
+    faster; texts with the string of a special token go to the library itself."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.lib = Tokenizer.from_file(path)
+        self.path, self._lib = path, None
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.known: dict[str, bytes] = {}
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        byte = {c: b for b, c in enumerate(byte_symbols())}
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
+        self.fast = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+    @property
+    def lib(self):
+        if self._lib is None:
+            from tokenizers import Tokenizer
+
+            self._lib = Tokenizer.from_file(self.path)
+        return self._lib
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
-            return self._bytes(self.lib.encode(text, add_special_tokens=False).ids)
-        parts = (_ASCII if text.isascii() else _LONG).findall(text)
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        if new := [p for p in set(parts) if p not in known]:
-            for p, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = self._bytes(e.ids)
-        return b"".join(map(known.__getitem__, parts))
+            ids = self.lib.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.asarray(ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -172,9 +172,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
     return out
 
 
-def runs(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:
-    """Per length, which of its numbers go where: number first + i, for i under times, lies in
-    sequence sequence + i at offset. Ordered by length and first."""
+def runs(patterns: list[tuple[list[int], int]]) -> np.ndarray:
+    """Per length, which of its numbers go where, as rows (length, first, sequence, offset): number
+    first + i, for i under the pattern's times, lies in sequence + i at offset. In order."""
     rows, sequence, done = [], 0, {}
     for pattern, times in patterns:
         at = 0
@@ -183,7 +183,7 @@ def runs(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:
             done[x] = done.get(x, 0) + times
             at += x
         sequence += times
-    return pd.DataFrame(rows, columns=["length", "first", "sequence", "offset"]).sort_values(["length", "first"], ignore_index=True)
+    return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -203,9 +203,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first[r["length"], r["shard"]] = counts.get(r["length"], 0)
         counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
     where = runs(plan(counts, capacity))
-    lengths = where["length"].to_numpy()
-    edge = np.searchsorted(lengths, np.arange(capacity + 2))
-    sent = spark.sparkContext.broadcast((first, where["first"].to_numpy(), where["sequence"].to_numpy(), where["offset"].to_numpy(), edge))
+    edge = np.searchsorted(where[:, 0], np.arange(capacity + 2))
+    sent = spark.sparkContext.broadcast((first, where[:, 1], where[:, 2], where[:, 3], edge))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, firsts, sequences, offsets, edge = sent.value
@@ -230,4 +229,4 @@ def best_fit(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     A null or empty text is its end token alone. Rows repeated with one doc_id are packed each."""
-    return pack(cut(pieces(docs, path, capacity)), capacity)
+    return pack(written(pieces(docs, path, capacity)), capacity)
