@@ -105,18 +105,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, i
 class _Sums:
     """Which lengths are left, and the combinations of up to three of them with a given sum."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, even: bool = False):
         self.counts = counts
         self.most = len(counts) - 1
+        self.even = even
 
     def _pair(self, total: int, used: dict[int, int], top: int) -> tuple[int, int] | None:
-        """a >= b with a + b = total and enough of both left beside those used; a is as long as can be."""
+        """a >= b with a + b = total and enough of both left beside those used; a is as long as can
+        be, or as short with even."""
         hi = min(total - 1, top)
         lo = (total + 1) // 2
         if hi < lo:
             return None
         left = self.left(used)
-        a = np.arange(hi, lo - 1, -1)
+        a = np.arange(lo, hi + 1) if self.even else np.arange(hi, lo - 1, -1)
         ok = (left[a] > 0) & (left[total - a] > 0) & ((2 * a != total) | (left[a] > 1))
         k = int(np.argmax(ok))
         return (int(a[k]), int(total - a[k])) if ok[k] else None
@@ -145,16 +147,31 @@ class _Sums:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths in a sequence, how many such sequences), for counts of pieces by length."""
+    """(lengths in a sequence, how many such sequences), for counts of pieces by length. Of a few
+    ways to choose among combinations, the first that meets the bound, else the best."""
+    bound, best = -(-sum(x * n for x, n in counts.items()) // capacity), None
+    for even in (False, True):
+        for spare in (0, 1, 2, 4):
+            found = _plan(counts, capacity, even, spare)
+            if best is None or sum(t for _, t in found) < sum(t for _, t in best):
+                best = found
+            if sum(t for _, t in best) == bound:
+                return best
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, even: bool, spare: int) -> list[tuple[list[int], int]]:
+    """spare: how many lengths a sequence takes whole, largest first, before it looks for an exact
+    complement."""
     left = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         left[size] = n
-    sums, out = _Sums(left), []
+    sums, out = _Sums(left, even), []
     for size in range(capacity, 0, -1):
         while left[size] > 0:
             pattern, used, gap = [size], {size: 1}, capacity - size
             while gap > 0:
-                if fill := sums.exact(gap, used):
+                if len(pattern) > spare and (fill := sums.exact(gap, used)):
                     pattern += fill
                     break
                 fits = np.flatnonzero(sums.left(used)[: gap + 1] > 0)
