@@ -22,7 +22,6 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -105,38 +104,46 @@ def _forest(fp: np.ndarray, radius: int, refs: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def _links(radius: int, refs: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by place; a place may go over the end of a batch."""
-
-    def solve(place: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-        edge = np.flatnonzero(np.diff(place, axis=0).any(axis=1)) + 1
-        begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
-        size = end - begin
-        pairs = begin[size == 2]
-        x, y = fp[pairs], fp[pairs + 1]
-        far = np.zeros(len(x), np.int64)
-        for r in refs:  # the pivot table, a coordinate at a time
-            far = np.maximum(far, np.abs(np.bitwise_count(x ^ r).astype(np.int64) - np.bitwise_count(y ^ r)))
-        near = (far <= radius) & (x != y)
-        near[near] = np.bitwise_count(x[near] ^ y[near]) <= radius
-        out = list(zip(x[near].view(np.int64).tolist(), y[near].view(np.int64).tolist(), strict=True))
-        for a, b in zip(begin[size > 2], end[size > 2], strict=True):
-            out += _forest(np.unique(fp[a:b]), radius, refs)
-        return out
-
-    held: list[pd.DataFrame] = []
+def _solve(place: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray) -> list[tuple[int, int]]:
+    """Links among rows that are sorted by place."""
+    edge = np.flatnonzero(np.diff(place, axis=0).any(axis=1)) + 1
+    begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
+    size = end - begin
+    pairs = begin[size == 2]
+    x, y = fp[pairs], fp[pairs + 1]
+    far = np.zeros(len(x), np.int64)
+    for r in refs:  # the pivot table, a coordinate at a time
+        far = np.maximum(far, np.abs(np.bitwise_count(x ^ r).astype(np.int64) - np.bitwise_count(y ^ r)))
+    near = (far <= radius) & (x != y)
+    near[near] = np.bitwise_count(x[near] ^ y[near]) <= radius
+    out = list(zip(x[near].view(np.int64).tolist(), y[near].view(np.int64).tolist(), strict=True))
+    for a, b in zip(begin[size > 2], end[size > 2], strict=True):
+        out += _forest(np.unique(fp[a:b]), radius, refs)
+    return out
+
+
+def _links(radius: int, refs: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by place; the rows of a place may come in several batches."""
+
+    def links(place: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        found = np.array(_solve(place, fp, radius, refs), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    places, prints = [], []
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
-        rows = pd.concat([*held, batch], ignore_index=True) if held else batch
-        place = rows[["choice", "place", "i", "j"]].to_numpy()
-        fp = rows["fp"].to_numpy().view(np.uint64)
-        last = int(np.flatnonzero((place != place[-1]).any(axis=1))[-1]) + 1 if (place != place[-1]).any() else 0
-        held = [rows.iloc[last:]]
-        if last:
-            yield pd.DataFrame(solve(place[:last], fp[:last]), columns=["a", "b"], dtype="int64")
-    if held:
-        yield pd.DataFrame(solve(held[0][["choice", "place", "i", "j"]].to_numpy(), held[0]["fp"].to_numpy().view(np.uint64)), columns=["a", "b"], dtype="int64")
+        place = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+        places.append(place)
+        prints.append(batch.column(4).to_numpy().view(np.uint64))
+        if (place[0] == place[-1]).all() and (places[0][0] == place[-1]).all():
+            continue  # one place so far
+        place, fp = np.concatenate(places), np.concatenate(prints)
+        last = int(np.flatnonzero((place != place[-1]).any(axis=1))[-1]) + 1
+        yield links(place[:last], fp[:last])
+        places, prints = [place[last:].copy()], [fp[last:].copy()]
+    if places:
+        yield links(np.concatenate(places), np.concatenate(prints))
 
 
 def links(nodes: DataFrame, n: int, radius: int = 4) -> DataFrame:
@@ -151,7 +158,7 @@ def links(nodes: DataFrame, n: int, radius: int = 4) -> DataFrame:
     with_all = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     placed = met.select("choice", "place", "fp", F.explode(with_all).alias("of")).select("choice", "place", "of.i", "of.j", "fp")
     sorted_rows = placed.repartition("choice", "place", "i", "j").sortWithinPartitions("choice", "place", "i", "j")
-    return sorted_rows.mapInPandas(partial(_links, radius, pivots()), "a long, b long").distinct()
+    return map_texts(sorted_rows, partial(_links, radius, pivots()), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:

@@ -40,7 +40,7 @@ DECAY, LANDMARKS, SAMPLE, LONGEST = 0.8, 160, 1500, 24
 #: Letters: a-z, digits, and the others by their code points modulo.
 ALPHABET = 64
 #: Distinct words whose margin a worker keeps; more are computed anew.
-KEPT = 500_000
+KEPT = 100_000
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”‘’«»¡¿"
 _SPELLED = re.compile(r"(?<![^\x20\x09-\x0D])[^\W\d_](?:[\x20.\-_*]+[^\W\d_]){2,}(?![^\x20\x09-\x0D.,!?;:])")
 
