@@ -27,8 +27,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_last: tuple[str, str, Catalog] | None = None
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The driver's tables as streams: events as a log and a metric stream, a lookup table, spans."""
+    """The driver's tables as streams: events as a log and a metric stream, a lookup table, spans.
+    The last one is kept, as reading ten tables' schemas takes longer than many a query."""
+    global _last
+    app = spark.sparkContext.applicationId
+    if _last is None or _last[:2] != (app, sf_dir) or _last[2].spark is not spark:
+        _last = (app, sf_dir, _catalog(spark, sf_dir))
+    return _last[2]
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     configure(spark)
     out = Catalog(spark)
     for name in TABLES:
