@@ -21,6 +21,11 @@ def lookup_join(left: DataFrame, table: DataFrame, on, how: str = "left", most:
     return left.join(F.broadcast(table) if within(table, most) else table, on, how)
 
 
+def limited_broadcast_join(left: DataFrame, right: DataFrame, keys: list[str], most_rows: int, how: str = "inner") -> DataFrame:
+    """Join whose left side is first cut to most_rows rows, a fixed bound, and broadcast."""
+    return right.join(F.broadcast(left.limit(most_rows)), keys, how)
+
+
 def deduplicate(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """The first row per key: by order, newest first unless told otherwise. Equal rows of the order
     are told apart by all columns, so that the result is always the same."""

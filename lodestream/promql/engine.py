@@ -352,6 +352,8 @@ class Engine:
             return self._labels(name, args)
         if name == "histogram_quantile":
             return self._histogram_quantile(args[0], args[1])
+        if name == "histogram_fraction":
+            return self._histogram_fraction(args[0], args[1], args[2])
         if name in ("histogram_count", "histogram_sum"):
             suffix = name.removeprefix("histogram")
             return Vector(self._unnamed(args[0].df.where(F.element_at("labels", "__name__").endswith(suffix))))
@@ -420,17 +422,33 @@ class Engine:
         put = F.when(new == "", rest).otherwise(F.map_concat(rest, F.create_map(F.lit(dest), new)))
         return Vector(_relabel(df, put if old is None else F.when(new != old, put).otherwise(labels)))
 
-    def _histogram_quantile(self, q, x: Vector) -> Vector:
-        """Buckets of a series and time, sorted by bound, bounds that are equal added together and
-        counts made to rise; linear inside the bucket that holds the rank."""
-        phi = q.col
+    @staticmethod
+    def _buckets(x: Vector) -> DataFrame:
+        """Per series and time, b: its buckets by bound, with bounds that are equal added together and
+        counts made to rise. Without a +Inf bucket there is nothing."""
         bound = F.when(F.element_at("labels", "le").isin("+Inf", "Inf"), float("inf")).otherwise(F.element_at("labels", "le").try_cast("double"))
         df = x.df.withColumn("le", bound).where("le IS NOT NULL")
         df = _relabel(df, _without(F.col("labels"), ["__name__", "le", "__hash__"]))
         df = df.groupBy("sig", "t", "le").agg(F.any_value("labels").alias("labels"), F.sum("v").alias("c"))
         df = df.groupBy("sig", "t").agg(F.any_value("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("le", "c"))).alias("b"))
         rising = "transform(b, (x, i) -> struct(x.le AS le, array_max(transform(slice(b, 1, i + 1), y -> y.c)) AS c))"
-        df = df.withColumn("phi", phi.cast("double")).withColumn("b", F.expr(rising)).where(f"b[size(b) - 1].le = {_INF}")
+        return df.withColumn("b", F.expr(rising)).where(f"b[size(b) - 1].le = {_INF}")
+
+    def _histogram_fraction(self, low: Scalar, high: Scalar, x: Vector) -> Vector:
+        """The share of observations between two values, linear inside buckets."""
+
+        def below(value: str) -> str:
+            k = f"size(filter(b, x -> x.le < {value}))"
+            lo, c = f"CASE WHEN {k} = 0 THEN 0D ELSE b[{k} - 1].le END", f"CASE WHEN {k} = 0 THEN 0D ELSE b[{k} - 1].c END"
+            return f"CASE WHEN {value} <= 0 AND b[0].le > 0 THEN 0D WHEN {k} >= size(b) - 1 THEN CASE WHEN {value} = {_INF} THEN b[size(b) - 1].c ELSE b[size(b) - 2].c END ELSE ({c}) + (b[{k}].c - ({c})) * ({value} - ({lo})) / (b[{k}].le - ({lo})) END"
+
+        df = self._buckets(x).withColumn("lo", low.col.cast("double")).withColumn("hi", high.col.cast("double"))
+        value = f"CASE WHEN size(b) < 2 OR b[size(b) - 1].c = 0 THEN {_NAN} WHEN hi <= lo THEN 0D ELSE (({below('hi')}) - ({below('lo')})) / b[size(b) - 1].c END"
+        return Vector(df.select("labels", "sig", "t", F.expr(value).alias("v")))
+
+    def _histogram_quantile(self, q, x: Vector) -> Vector:
+        """Linear inside the bucket that holds the rank."""
+        df = self._buckets(x).withColumn("phi", q.col.cast("double"))
         df = df.withColumn("rank", F.expr("phi * b[size(b) - 1].c"))
         df = df.withColumn("k", F.expr("least(size(filter(b, x -> x.c < rank)), size(b) - 1)"))
         value = f"""CASE WHEN size(b) < 2 OR b[size(b) - 1].c = 0 OR isnan(phi) THEN {_NAN} WHEN phi < 0 THEN -{_INF} WHEN phi > 1 THEN {_INF}

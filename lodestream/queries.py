@@ -17,6 +17,8 @@ from .operators import traces as TR
 from .plans.planner import Planner, Request, search
 from .promql import engine as PQ
 from .session import configure
+from .sources import ingest as IN
+from .streaming import pipelines as ST
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 EVENTS = "(SELECT *, epoch_us(ts) AS _timestamp FROM events)"
@@ -269,6 +271,76 @@ does("downsample_last", lambda c: R.downsample(c.df("events").withColumn("__hash
 does("alert_dedup", lambda c: R.deduplicate_alerts(c.df("events"), ["user_id", "event_type"], DAY).select("event_id"), "SELECT event_id FROM (SELECT event_id, _timestamp - lag(_timestamp) OVER (PARTITION BY user_id, event_type ORDER BY _timestamp) AS d FROM {E}) WHERE d IS NULL OR d > 86400000000")
 does("alert_groups", lambda c: R.group_alerts(c.df("events"), ["event_type"]).drop("fingerprint"), "SELECT event_type, count(*) AS alerts, min(_timestamp) AS first_seen, max(_timestamp) AS last_seen FROM {E} GROUP BY event_type")
 
+# -- ingest -------------------------------------------------------------------------------------------
+
+
+def _lines(c: Catalog, **columns) -> DataFrame:
+    return c.df("events").select(F.to_json(F.struct(*[x.alias(k) for k, x in columns.items()])).alias("value"))
+
+
+does(
+    "ingest_json", lambda c: IN.spread(IN.from_json_lines(_lines(c, _timestamp=F.col("_timestamp"), event_id=F.col("event_id"), where_=F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user")), value=F.col("value")), "s")),
+    "SELECT _timestamp, event_id, value, event_type AS where__type, user_id AS where__user FROM {E}",
+)
+does(
+    "ingest_hec", lambda c: IN.spread(IN.from_hec(_lines(c, time=F.col("_timestamp"), index=F.col("event_type"), event=F.col("props"))), {"log": "string"}).join(c.df("events").select("_timestamp", "event_id"), "_timestamp"),
+    "SELECT _timestamp, props AS log, event_id FROM {E}",
+)
+does(
+    "ingest_loki",
+    lambda c: IN.spread(IN.from_loki(_lines(c, streams=F.array(F.struct(F.struct(F.col("event_type").alias("job")).alias("stream"), F.array(F.array((F.col("_timestamp") * 1000).cast("string"), F.col("props"))).alias("values"))))), {"job": "string", "log": "string"}),
+    "SELECT _timestamp, event_type AS job, props AS log FROM {E}",
+)
+does(
+    "ingest_metrics", lambda c: IN.from_metrics_json(_lines(c, __name__=F.lit("m"), kind=F.col("event_type"), _timestamp=F.col("_timestamp"), value=F.col("value"))).select("stream", "_timestamp", "value", F.col("labels")["kind"].alias("kind")),
+    "SELECT 'm' AS stream, _timestamp, value, event_type AS kind FROM {E}",
+)
+
+
+def _otlp(c: Catalog) -> DataFrame:
+    attribute = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value")))
+    nanos = (F.col("_timestamp") * 1000).cast("string")
+    span = F.struct((F.col("event_id") % 10).cast("string").alias("traceId"), F.col("event_id").cast("string").alias("spanId"), F.lit("op").alias("name"), F.lit("SPAN_KIND_SERVER").alias("kind"), nanos.alias("startTimeUnixNano"), nanos.alias("endTimeUnixNano"))
+    line = F.array(F.struct(F.struct(attribute.alias("attributes")).alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans")))
+    return IN.from_otlp_traces(_lines(c, resourceSpans=line)).drop("attributes")
+
+
+does("ingest_otlp_traces", _otlp, "SELECT _timestamp, CAST(event_id % 10 AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id, '' AS reference_parent_span_id, event_type AS service_name, 'op' AS operation_name, '2' AS span_kind, 'UNSET' AS span_status, _timestamp AS start_time, _timestamp AS end_time FROM {E}")
+does("infer_services", lambda c: TR.infer_services(c.df("spans", "traces").drop("infer_service_name").withColumn("peer_service", F.when(F.col("span_id").cast("long") % 8 == 3, "peer")).withColumn("db_system", F.lit("pg"))).select("span_id", "infer_service_name", "infer_service_type", "infer_service_system"), "WITH s AS {SPANS} SELECT span_id, CASE WHEN span_kind = '3' THEN CASE WHEN CAST(span_id AS BIGINT) % 8 = 3 THEN 'peer' ELSE 'pg' END END AS infer_service_name, CASE WHEN span_kind = '3' THEN 'database' END AS infer_service_type, CASE WHEN span_kind = '3' THEN 'pg' END AS infer_service_system FROM s")
+
+# -- windows over event time, as batches and as streams ----------------------------------------------
+does("window_tumbling", lambda c: ST.tumbling(c.df("events"), "6 hours", ["event_type"]).withColumn("total", F.round("total", 4)), "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+does("window_sliding", lambda c: ST.sliding(c.df("events"), "12 hours", "6 hours", ["event_type"]).withColumn("total", F.round("total", 4)), "WITH x AS (SELECT time_bucket(INTERVAL '6 hours', ts) - k * INTERVAL '6 hours' AS start, event_type, value FROM events, range(2) r(k)) SELECT start, start + INTERVAL '12 hours' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY ALL")
+does("window_session", lambda c: ST.sessions(c.df("events"), "30 minutes", ["event_type"]).withColumn("total", F.round("total", 4)), "WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM b GROUP BY event_type, s")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tumbling windows again, from a stream that reads the table's file once."""
+    configure(spark)
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = ST.tumbling(with_time(stream, "ts"), "6 hours", ["event_type"], late="40 days")
+    q = out.writeStream.format("memory").queryName("stream_tumbling").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table("stream_tumbling").withColumn("total", F.round("total", 4))
+
+
+QUERIES["stream_tumbling"] = _streamed
+ORACLES["stream_tumbling"] = ORACLES["window_tumbling"]
+
+
+def _in_parts(c: Catalog) -> DataFrame:
+    planner, text = Planner(c), "SELECT event_id FROM events WHERE value > 20"
+    parts = [search(c.spark, planner, Request(text, a, b, size=-1)) for a, b in ST.partitions(START, START + DAY, DAY // 5, mini=3_600_000_000)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+does("search_in_parts", _in_parts, f"SELECT _timestamp, event_id FROM {{E}} WHERE value > 20 AND _timestamp >= {START} AND _timestamp < {START + DAY}")
+does("join_limited_broadcast", lambda c: R.limited_broadcast_join(c.df("nation").withColumnRenamed("n_nationkey", "c_nationkey"), c.df("customer"), ["c_nationkey"], 1000).select("c_custkey", "n_name"), "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+
 # -- PromQL ------------------------------------------------------------------------------------------
 HOUR = 3_600_000_000
 _M = "m AS (SELECT epoch_us(ts) AS ts, event_type, CAST(user_id % 3 AS VARCHAR) AS shard, value AS v FROM events)"
@@ -352,7 +424,17 @@ prom("prom_and", 'event_value and event_value{shard="1"}', f"{_I} SELECT event_t
 prom("prom_or", 'event_value{shard="1"} or event_value{shard="2"}', f"{_I} SELECT event_type, shard, t, round(v, 6) AS v FROM i WHERE shard IN ('1', '2')")
 prom("prom_unless", 'event_value unless event_value{shard="1"}', f"{_I} SELECT event_type, shard, t, round(v, 6) AS v FROM i WHERE shard <> '1'")
 prom("prom_unary", "-event_value", f"{_I} SELECT event_type, shard, t, round(-v, 6) AS v FROM i")
-prom("prom_histogram_quantile", "histogram_quantile(0.9, event_bucket)", labels=("event_type",))
+_B = f"""WITH e AS (SELECT _timestamp - _timestamp % {HOUR} AS t, event_type, value FROM {EVENTS}), tops(top) AS (VALUES (10::DOUBLE), (50::DOUBLE), (100::DOUBLE), ('inf'::DOUBLE)),
+b AS (SELECT t, event_type, top, count(*) AS c FROM e, tops WHERE value <= top AND t BETWEEN {START} AND {START + DAY} GROUP BY ALL),
+r AS (SELECT *, coalesce(lag(top) OVER w, 0) AS lo, coalesce(lag(c) OVER w, 0) AS lc, max(c) OVER (PARTITION BY t, event_type) AS n, count(*) OVER (PARTITION BY t, event_type) AS k FROM b WINDOW w AS (PARTITION BY t, event_type ORDER BY top))"""
+
+
+def _below(x: int) -> str:
+    return f"sum(CASE WHEN lo < {x} AND {x} <= top THEN lc + CASE WHEN isinf(top) THEN 0 ELSE (c - lc) * ({x} - lo) / (top - lo) END END)"
+
+
+prom("prom_histogram_fraction", "histogram_fraction(5, 60, event_bucket)", f"{_B} SELECT event_type, t, round(CASE WHEN max(k) < 2 THEN 'nan'::DOUBLE ELSE ({_below(60)} - {_below(5)}) / max(n) END, 6) AS v FROM r GROUP BY event_type, t", labels=("event_type",))
+prom("prom_histogram_quantile", "histogram_quantile(0.9, event_bucket)", f"{_B}, f AS (SELECT *, row_number() OVER (PARTITION BY t, event_type ORDER BY top) AS i FROM r WHERE c >= 0.9::DOUBLE * n) SELECT event_type, t, round(CASE WHEN k < 2 THEN 'nan'::DOUBLE WHEN isinf(top) THEN lo ELSE lo + (top - lo) * (0.9::DOUBLE * n - lc) / (c - lc) END, 6) AS v FROM f WHERE i = 1", labels=("event_type",))
 does("prom_series", lambda c: PQ.series(c, ['event_value{shard="1"}'], START, START + DAY).select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["shard"].alias("shard")), f"SELECT DISTINCT event_type, '1' AS shard FROM {{E}} WHERE user_id % 3 = 1 AND _timestamp >= {START} AND _timestamp <= {START + DAY}")
 does("prom_label_values", lambda c: PQ.label_values(c, "event_type", "event_value", START, START + DAY), f"SELECT DISTINCT event_type AS value FROM {{E}} WHERE _timestamp >= {START} AND _timestamp <= {START + DAY}")
 does("prom_instant", lambda c: PQ.query(c, "sum by (event_type) (sum_over_time(event_value[1d]))", START + DAY).select(F.col("labels")["event_type"].alias("event_type"), F.round("v", 6).alias("v")), f"SELECT event_type, round(sum(value), 6) AS v FROM {{E}} WHERE _timestamp >= {START} AND _timestamp <= {START + DAY} GROUP BY event_type")

@@ -78,3 +78,11 @@ def geo_lookup(df: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:
     right = ranges.withColumn("__block", F.explode(F.sequence(F.shiftright("first", 16), F.shiftright("last", 16))))
     met = left.join(right, (left["__block"] == right["__block"]) & (left["__ip"] >= right["first"]) & (left["__ip"] <= right["last"]), "left")
     return met.drop("__ip", "__block", "first", "last")
+
+
+def due_hours(spark: SparkSession, path: str, since: int, threshold: int) -> list[tuple[str, int, int]]:
+    """Hours of data (date, hour, files) in which at least threshold files are newer than since (µs):
+    what an incremental merge would take up. Lists file metadata only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "modificationTime")
+    at = files.where(F.unix_micros("modificationTime") >= since).select(F.regexp_extract("path", r"p_date=([0-9-]+)", 1).alias("d"), F.regexp_extract("path", r"p_hour=([0-9]+)", 1).try_cast("int").alias("h"))
+    return [tuple(r) for r in at.groupBy("d", "h").count().where(F.col("count") >= threshold).orderBy("d", "h").collect()]

@@ -97,6 +97,12 @@ def test_histogram_quantile(cat):
     assert at(cat, 'histogram_quantile(0.5, lat_bucket{le!="+Inf"})', 600) == {}
 
 
+def test_histogram_fraction(cat):
+    assert one(cat, "histogram_fraction(0, 0.5, lat_bucket)", 600) == pytest.approx(0.75)
+    assert one(cat, "histogram_fraction(0.3, 1, lat_bucket)", 600) == pytest.approx(0.5)
+    assert one(cat, "histogram_fraction(2, 1, lat_bucket)", 600) == 0
+
+
 def test_aggregations(cat):
     assert at(cat, "sum(temp)") == {(): 27.0}
     assert at(cat, "max by (host) (temp)")[(("host", "y"),)] == 18.0
