@@ -80,7 +80,7 @@ def dropped(*tables: DataFrame) -> None:
 
 def _drop_tables() -> None:
     for path, spark in list(_tables.items()):
-        if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -99,12 +99,12 @@ def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from fn(batches)
         finally:
-            _give_back()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
         ctypes.CDLL(None).malloc_trim(0)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fold, fresh, map_texts
+from .common import columns, fold, fresh, give_back, map_texts
 
 DECAY, LANDMARKS, SAMPLE, LONGEST = 0.8, 160, 1500, 24
 #: Letters: a-z, digits, and the others by their code points modulo.
@@ -260,14 +260,15 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     y = np.array([int(bool(t)) for t in toxic], np.int64)
     groups = _different(sets)
     bad, good = Counter(), Counter()
-    done: set[tuple[int, str]] = set()
+    held: dict[int, set[str]] = {}
     for words, group, t in zip(sets, groups, y, strict=True):
         if t:
-            fresh_words = [w for w in words if (group, w) not in done]
-            done.update((group, w) for w in fresh_words)
-            bad.update(fresh_words)
+            held[group] = held.get(group, set()) | words
         else:
             good.update(words)
+    for words in held.values():
+        bad.update(words)
+    del held
     n_bad, n_good = len({g for g, t in zip(groups, y, strict=True) if t}), int((y == 0).sum())
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
     seeds = _telling(bad, good, n_bad, n_good)
@@ -297,9 +298,9 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         told = kernel.of(positive) @ whiten
         x = np.vstack([told, told, against])
         label = np.r_[np.ones(len(positive)), -np.ones(len(positive) + len(negative))]
-        held = np.array([max(bad[w], 1) for w in positive], float)
+        seen = np.array([max(bad[w], 1) for w in positive], float)
         clear = np.array([good[w] for w in positive], float)  # positive ones that clean documents hold too
-        weight = np.r_[held / held.sum(), clear / held.sum(), [good[w] / held.sum() + 1 / len(negative) for w in negative]] * 100
+        weight = np.r_[seen / seen.sum(), clear / seen.sum(), [good[w] / seen.sum() + 1 / len(negative) for w in negative]] * 100
         beta, bias = _machine(x, label, weight)
         model = Model(kernel.folded((whiten @ beta).astype(np.float32)), bias, 1.0, 0.0)
         if again == rounds:
@@ -319,6 +320,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         positive = sorted(found)
     margin = np.array([model.margin(s) for s in sets])
     slope, shift = _curve(margin, y)
+    give_back()
     return Model(model.weights, model.bias, slope, shift)
 
 
