@@ -26,6 +26,38 @@ def limited_broadcast_join(left: DataFrame, right: DataFrame, keys: list[str], m
     return right.join(F.broadcast(left.limit(most_rows)), keys, how)
 
 
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int | None = None) -> DataFrame:
+    """Each left row with the newest right row of its keys that is no newer than it (by _timestamp),
+    at most tolerance older. Both sides are sorted once, together, per key and day; the last right
+    row before a day is carried in from per-day maxima, so that a hot key is dealt out by day.
+    Right rows of one key and time: the greatest counts. Right columns are nested in "right"."""
+    day = 86_400_000_000
+    slot = F.floor(F.col(TIME) / day).alias("__slot")
+    rest = sorted(c for c in right.columns if c not in keys)
+    row = F.struct(TIME, *[c for c in rest if c != TIME])
+    held = right.select(*keys, slot, row.alias("__row"))
+    edge = held.groupBy(*keys, "__slot").agg(F.max("__row").alias("__row"))
+    before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and day that either side has
+    days = left.select(*keys, slot).distinct().join(edge, [*keys, "__slot"], "full").withColumn("__carried", F.max("__row").over(before)).select(*keys, "__slot", "__carried").where("__carried IS NOT NULL")
+    marks = held.select(*keys, "__slot", F.col(f"__row.{TIME}").alias("__at"), F.lit(0).alias("__side"), "__row", F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__left"))
+    carried = days.select(*keys, "__slot", F.lit(None).cast("long").alias("__at"), F.lit(-1).alias("__side"), F.col("__carried").alias("__row"), F.lit(None).cast(marks.schema["__left"].dataType).alias("__left"))
+    asked = left.select(*keys, slot, F.col(TIME).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(marks.schema["__row"].dataType).alias("__row"), F.struct(*left.columns).alias("__left"))
+    w = Window.partitionBy(*keys, "__slot").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marks.union(carried).union(asked).withColumn("right", F.max("__row").over(w)).where("__side = 1")
+    if tolerance is not None:
+        found = found.withColumn("right", F.when(F.col("__at") - F.col(f"right.{TIME}") <= tolerance, F.col("right")))
+    return found.select("__left.*", "right")
+
+
+def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
+    """Left rows with the right rows whose [low, high) holds left's number: an equal join on buckets of
+    width, with the bounds checked inside a bucket."""
+    a = left.withColumn("__bucket", F.floor(F.col(at) / width))
+    b = right.where(F.col(low) < F.col(high)).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
+    return a.join(b, (a["__bucket"] == b["__bucket"]) & (a[at] >= b[low]) & (a[at] < b[high])).drop("__bucket")
+
+
 def deduplicate(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """The first row per key: by order, newest first unless told otherwise. Equal rows of the order
     are told apart by all columns, so that the result is always the same."""

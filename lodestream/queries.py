@@ -159,6 +159,17 @@ ask("join_theta_like", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN nation
 does("join_limit_dedup", lambda c: R.match_one_join(c.df("nation").select(F.col("n_nationkey").cast("long").alias("user_id"), "n_name"), c.df("events").select("user_id", "_timestamp", "event_id"), ["user_id"], 500), "WITH r AS (SELECT user_id, _timestamp, event_id FROM {E} ORDER BY _timestamp DESC LIMIT 500), d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY _timestamp DESC) AS k FROM r) SELECT CAST(n_nationkey AS BIGINT) AS user_id, n_name, _timestamp, event_id FROM nation JOIN d ON n_nationkey = user_id WHERE k = 1")
 ask("join_three_way", "SELECT n.n_name, CAST(count(*) AS BIGINT) AS n, round(sum(l.l_extendedprice * (1 - l.l_discount)), 0) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
 
+def _asof(c: Catalog, **options) -> DataFrame:
+    e = c.df("events").select("user_id", "_timestamp", "event_id", "event_type")
+    out = R.asof_join(e.where("event_type = 'click'"), e.where("event_type = 'view'").drop("event_type"), ["user_id"], **options)
+    return out.select("event_id", F.col("right.event_id").alias("before"))
+
+
+_ASOF = "WITH l AS (SELECT * FROM {E} WHERE event_type = 'click'), r AS (SELECT * FROM {E} WHERE event_type = 'view') SELECT l.event_id, {x} AS before FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l._timestamp >= r._timestamp"
+does("join_asof", _asof, _ASOF.replace("{x}", "r.event_id"))
+does("join_asof_tolerance", lambda c: _asof(c, tolerance=DAY), _ASOF.replace("{x}", "CASE WHEN l._timestamp - r._timestamp <= 86400000000 THEN r.event_id END"))
+does("join_range", lambda c: R.range_join(c.df("orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("p")), c.df("part").select("p_partkey", (F.col("p_partkey") * 1000).alias("lo"), (F.col("p_partkey") * 1000 + 700).alias("hi")), "p", "lo", "hi", 5000).select("o_orderkey", "p_partkey"), "SELECT o_orderkey, p_partkey FROM orders JOIN part ON floor(o_totalprice) >= p_partkey * 1000 AND floor(o_totalprice) < p_partkey * 1000 + 700")
+
 # -- aggregates --------------------------------------------------------------------------------------
 ask("agg_basic", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS s, round(avg(l_extendedprice), 4) AS a, min(l_discount) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus")
 ask("agg_count_distinct", "SELECT event_type, count(distinct user_id) AS users, count(DISTINCT props) AS props FROM {E} GROUP BY event_type")
