@@ -21,9 +21,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         # hooking: a tree's root learns the least label that any of its members sees
         met = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("near"))
-        hooks = met.groupBy("root").agg(F.min("near").alias("up")).withColumnRenamed("root", "old")
-        moved = met.join(hooks, met["root"] == hooks["old"]).select("node", F.least("near", "up").alias("root"), (F.least("near", "up") < F.col("root")).alias("moved"))
-        moved = cut(moved)
+        # (written out, so that the join below deals out both of its sides and a large tree's nodes can be split)
+        hooks = cut(met.groupBy("root").agg(F.min("near").alias("up")).where("up < root").withColumnRenamed("root", "old"))
+        new = F.least("near", F.coalesce("up", "near"))
+        moved = cut(met.join(hooks, met["root"] == hooks["old"], "left").select("node", new.alias("root"), (new < F.col("root")).alias("moved")))
         if moved.where("moved").isEmpty():
             return labels
         up = moved.select(F.col("node").alias("old"), F.col("root").alias("higher"))

@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """The documents, whole rows, of which each is the least doc_id of its group."""
+    """The documents, whole rows, of which each is the least doc_id of its group. A doc_id that stands
+    in several rows stays, with all of them, if it is the least of any of their groups."""
     found = near_duplicates(docs, radius, shingle, seed)
     key = fresh("id")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key))
