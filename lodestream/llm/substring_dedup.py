@@ -203,17 +203,19 @@ def repeated_fragments(keyed: DataFrame, window: int = WINDOW, kmer: int = KMER)
     dropped(often)
     key = ["minimizer", "whole"]
     kinds = written(some.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "row", "start", "windows")).alias("at")))
-    branch = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("minimizer")
+    # Written out, like twice below, so that the joins deal out both of their sides: a passage that a third
+    # of all documents hold has as many different fragments at its ends, and its key can then be split.
+    branch = written(kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("minimizer"))
     straight = kinds.join(branch, "minimizer", "left_anti").select(*key, F.expr("shiftleft(1L, cast(at.windows AS int)) - 1").alias("mask"))
     opened = kinds.join(branch, "minimizer").groupBy("at.id", "at.row").agg(F.collect_list(F.struct(*key, "copies", "at.start", "at.windows")).alias("found"))
     # A row that is repeated whole opens its fragments twice; each of its windows is repeated anyway.
     pressed = map_texts(keyed.select("id", "row", "text"), _pressed, "id long, row long, text binary")
     texts = pressed.join(opened, ["id", "row"]).select("text", "found")
     edges = written(map_texts(texts, partial(_edges, window), "minimizer long, whole long, copies long, place byte, w1 long, w2 long"))
-    twice = edges.groupBy("minimizer", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
+    twice = written(edges.groupBy("minimizer", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"))
     parts = edges.join(twice, ["minimizer", "w1", "w2"]).groupBy(*key).agg(F.expr("bit_or(shiftleft(1L, cast(place AS int)))").alias("mask"))
     found = written(some.join(straight.unionByName(parts), key).groupBy("id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("found")))
-    dropped(some, kinds, edges)
+    dropped(some, kinds, branch, edges, twice)
     return found
 
 
