@@ -4,7 +4,7 @@ Only lengths matter to where a piece goes, so the plan is made on the table of l
 many entries as a sequence has tokens, whatever the corpus holds) and then dealt out:
 
 1. tokenize: one row per piece with its length, written to the shared folder;
-2. count the pieces of each length, and in each of ``SHARDS`` shards of a length;
+2. count the pieces of each length, and in each shard of a length (about ``SHARD`` pieces);
 3. plan: from the longest length down, fill the gap that it leaves exactly by one, two or
    three lengths looked up by their sum, as long as enough of each are left; where no
    combination fits, put in the longest that fits and look again. A pattern is used as often
@@ -31,7 +31,8 @@ from .bpe_automaton import byte_symbols
 from .common import columns, map_texts, written
 
 CAPACITY = 2048
-SHARDS = 64
+#: Pieces of one length that are numbered together, about, unless that made more than SHARDS shards.
+SHARD, SHARDS = 20_000, 200_000
 
 #: The split that byte-level BPE files of this kind ask for with use_regex.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -210,28 +211,29 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shard. An empty table packs into nothing. The plan that goes to the executors has at most
     a few entries for each length, so its size doesn't grow with the corpus."""
     spark = found.sparkSession
-    spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int")
-    sharded = found.withColumn("shard", spread)
-    per = sharded.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
-    rows = per.collect()  # at most capacity x SHARDS
-    counts: dict[int, int] = {}
-    first = np.zeros((capacity + 1, SHARDS), np.int64)
-    for r in sorted(rows, key=lambda r: (r["length"], r["shard"])):
-        first[r["length"], r["shard"]] = counts.get(r["length"], 0)
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    wide = max(SHARD, sum(counts.values()) // SHARDS)
+    shards = np.array([max(1, -(-counts.get(size, 0) // wide)) for size in range(capacity + 1)])
+    slot = np.cumsum(shards) - shards  # slot[length] + shard numbers all shards
+    of = F.element_at(F.lit(shards.tolist()), F.col("length").cast("int") + 1)
+    sharded = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), of).cast("long"))
+    base, done = np.zeros(int(shards.sum()), np.int64), np.zeros(capacity + 1, np.int64)
+    for r in sharded.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "shard").collect():  # at most SHARDS and one per length
+        base[slot[r["length"]] + r["shard"]] = done[r["length"]]
+        done[r["length"]] += r["n"]
     where = runs(plan(counts, capacity))
     edge = np.searchsorted(where[:, 0], np.arange(capacity + 2))
-    sent = spark.sparkContext.broadcast((first, where[:, 1], where[:, 2], where[:, 3], edge))
+    sent = spark.sparkContext.broadcast((slot, base, where[:, 1], where[:, 2], where[:, 3], edge))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, firsts, sequences, offsets, edge = sent.value
+        slot, base, firsts, sequences, offsets, edge = sent.value
         top = int(firsts.max(initial=0)) + 1
         length_of = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         key = length_of * top + firsts
         for batch in batches:
             size = batch.column(batch.schema.get_field_index("length")).to_numpy()
             shard = batch.column(batch.schema.get_field_index("shard")).to_numpy()
-            number = base[size, shard] + batch.column(batch.schema.get_field_index("rank")).to_numpy() - 1
+            number = base[slot[size] + shard] + batch.column(batch.schema.get_field_index("rank")).to_numpy() - 1
             k = np.searchsorted(key, size * top + np.minimum(number, top - 1), side="right") - 1
             keep = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequences[k] + number - firsts[k]), pa.array(offsets[k])], [*names, "sequence_id", "offset"])
