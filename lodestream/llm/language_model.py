@@ -3,7 +3,7 @@
 Tokens are the words of a text with A-Z lowered, then one end token. What is gathered from the
 training documents: the count of every token, and how often each class of tokens follows each.
 The ``OWN`` most frequent tokens are classes of their own; the others up to the ``KNOWN`` most
-frequent share classes by their frequency; the rest, and words never seen, are one class, the
+frequent (as many as pass a threshold on the count) share classes by their frequency; the rest, and words never seen, are one class, the
 tail. The model predicts the next class from the one before:
 
     score(w | h) = (C r_h) . q_w + b_w
@@ -138,6 +138,21 @@ def _place_all(texts: pa.Array, places: dict[bytes, int]) -> Iterator[tuple[list
         yield words, np.fromiter(map(places.get, words, repeat(none)), np.int64, len(words))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The tokens whose count is over a threshold that at most so many pass, by their counts. The
+    threshold comes from a histogram, eight bins for each doubling, so no task sorts them all."""
+    size = F.floor(F.log2("n") * 8).cast("int")
+    passed, least = 0, None
+    for r in sorted(counts.groupBy(size.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["b"]):  # at most 512 bins
+        if passed + r["n"] > most:
+            break
+        passed, least = passed + r["n"], r["b"]
+    if least is None:
+        return []
+    top = counts.where(size >= least).toArrow()  # at most KNOWN rows
+    return sorted(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
@@ -149,8 +164,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     learns = rows.where(fold(F.col("doc_id"), modulus) != held).select("text")
     counts = written(map_texts(learns, _counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1))).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
-    classes = Classes(list(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)), *map(int, sums))
+    classes = Classes(_most_frequent(counts, KNOWN), *map(int, sums))
     sent = spark.sparkContext.broadcast(classes)
     size = classes.size
 
