@@ -59,15 +59,18 @@ def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str,
 
 
 def deduplicate(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """The first row per key: by order, newest first unless told otherwise. Equal rows of the order
-    are told apart by all columns, so that the result is always the same."""
-    if order is None:
-        order = [F.col(TIME).desc()]
-    # max_by over a struct combines before the shuffle, which a window can't
-    rest = [c for c in df.columns if c not in keys]
+    """The first row per key: the newest, or the first by order. Equal rows of the order are told
+    apart by all columns, so that the result is always the same. The newest row is an aggregate,
+    which combines before the shuffle; another order needs the rows of a key in one place."""
+    rest = sorted(c for c in df.columns if c not in keys)
     if not rest:
         return df.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(*order, *[F.col(c) for c in sorted(rest)])
+    if order is None:
+        others = [c for c in rest if c != TIME]
+        best = df.groupBy(*keys).agg(F.min(F.struct((-F.col(TIME)).alias("__age"), *others)).alias("__row"))
+        found = {c: F.col(f"`{c}`") for c in keys} | {TIME: (-F.col("__row.__age")).alias(TIME)} | {c: F.col(f"__row.`{c}`") for c in others}
+        return best.select(*[found[c] for c in df.columns])
+    w = Window.partitionBy(*keys).orderBy(*order, *[F.col(c) for c in rest])
     return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 

@@ -2,10 +2,10 @@
 
 A vector is a DataFrame with labels (map), sig (the labels as one comparable string), t (the
 evaluation time in µs) and v. A range is a DataFrame of samples with labels, sig, ts and v and a
-width; it meets the grid of evaluation times by an equi-explode: each sample names the grid points
-whose window it falls into, so a selector costs one shuffle, on (sig, t), whatever its width.
-Functions with a mergeable form are plain aggregates there; the others see a sorted array of the
-window. A scalar is a Column over t.
+width; it meets the grid of evaluation times by an equi-explode: for functions with a mergeable form,
+each sample names the grid points whose window it falls into, and partial aggregates meet on
+(sig, t); for the others samples meet in blocks of grid points, and a function sees the sorted array
+of its window. Either way a selector costs one shuffle, whatever its width. A scalar is a Column over t.
 """
 
 from __future__ import annotations
@@ -243,11 +243,29 @@ class Engine:
         hit = name == m.value if m.op in ("=", "!=") else re.fullmatch(m.value, name) is not None
         return hit == (m.op in ("=", "=~"))
 
-    def _touch(self, df: DataFrame, wide: int, open_left: bool) -> DataFrame:
-        """Each sample once for every grid point t with ts <= t <= ts + wide (or < with open_left)."""
+    def _reach(self, df: DataFrame, wide: int, open_left: bool) -> DataFrame:
+        """Adds a and b, the first and last of the grid points t that a sample counts at: those with
+        ts <= t <= ts + wide (or < with open_left)."""
         first = F.ceil((F.greatest(F.col("ts"), F.lit(self.start)) - self.start) / self.step)
         last = F.floor((F.least(F.col("ts") + wide - (1 if open_left else 0), F.lit(self.end)) - self.start) / self.step)
-        df = df.withColumn("a", first.cast("long")).withColumn("b", last.cast("long")).where("a <= b")
+        return df.withColumn("a", first.cast("long")).withColumn("b", last.cast("long")).where("a <= b")
+
+    def _windows(self, df: DataFrame, wide: int) -> DataFrame:
+        """s, the samples in each window in order of time, per series and grid point. Samples meet in
+        blocks of as many grid points as a window spans, so that each is shuffled twice at most;
+        windows are cut out of a block's samples afterwards."""
+        block = max(1, -(-wide // self.step))
+        df = self._reach(df, wide, False)
+        df = df.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))))
+        met = df.groupBy("sig", "block").agg(F.any_value("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("ts", "v"))).alias("all"))
+        n = (self.end - self.start) // self.step
+        points = F.sequence(F.col("block") * block, F.least(F.col("block") * block + block - 1, F.lit(n)))
+        out = met.select("labels", "sig", "all", F.explode(F.transform(points, lambda k: F.lit(self.start) + k * self.step)).alias("t"))
+        return out.select("labels", "sig", "t", F.filter("all", lambda p: (p["ts"] >= F.col("t") - wide) & (p["ts"] <= F.col("t"))).alias("s")).where("size(s) > 0")
+
+    def _touch(self, df: DataFrame, wide: int, open_left: bool) -> DataFrame:
+        """Each sample once for every grid point that it counts at."""
+        df = self._reach(df, wide, open_left)
         points = F.transform(F.sequence("a", "b"), lambda k: F.lit(self.start) + k * self.step)
         return df.withColumn("t", F.explode(points)).drop("a", "b")
 
@@ -312,17 +330,14 @@ class Engine:
         return _relabel(df, _without(F.col("labels"), ["__name__"]))
 
     def _over(self, name: str, r: Range, args: list[float]) -> Vector:
-        touched = self._touch(r.df, r.wide, False)
         whole = _range_aggregates(name, args)
-        labels = F.any_value("labels").alias("labels")
         if whole is not None:
-            out = touched.groupBy("sig", "t").agg(labels, whole.alias("v"))
+            out = self._touch(r.df, r.wide, False).groupBy("sig", "t").agg(F.any_value("labels").alias("labels"), whole.alias("v"))
         else:
             sql = _range_expressions(name, args)
             if sql is None:
                 raise P.PromqlError(f"unknown function {name}")
-            out = touched.groupBy("sig", "t").agg(labels, F.array_sort(F.collect_list(F.struct("ts", "v"))).alias("s"))
-            out = out.withColumn("w", F.lit(r.wide)).withColumn("v", F.expr(sql)).where("v IS NOT NULL")
+            out = self._windows(r.df, r.wide).withColumn("w", F.lit(r.wide)).withColumn("v", F.expr(sql)).where("v IS NOT NULL")
         out = out.select("labels", "sig", "t", "v")
         return Vector(out if name == "last_over_time" else self._unnamed(out))
 

@@ -98,6 +98,11 @@ def does(name: str, fn: Callable[[Catalog], DataFrame], oracle: str | None = Non
         ORACLES[name] = oracle.replace("{E}", EVENTS).replace("{SPANS}", SPANS)
 
 
+ask(
+    "flagship", "SELECT histogram(_timestamp, '1 hour') AS bucket, event_type, count(*) AS cnt FROM {E} WHERE str_match(event_type, 'err') GROUP BY bucket, event_type",
+    "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS cnt FROM events WHERE contains(event_type, 'err') GROUP BY ALL",
+)
+
 # -- sources and scans ----------------------------------------------------------------------------
 ask("scan_project_filter", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 3 AND l_returnflag = 'R'")
 ask("scan_time_range", "SELECT event_id, event_type FROM {E}", f"SELECT event_id, event_type, _timestamp FROM {{E}} WHERE _timestamp >= {START} AND _timestamp < {START + DAY}", start=START, end=START + DAY)

@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,8 +79,14 @@ def from_json_lines(lines: DataFrame, stream: str) -> DataFrame:
     return _records(one, F.lit(stream), F.col("j"), F.coalesce(F.get_json_object("j", f"$.{TIME}"), F.get_json_object("j", "$.@timestamp"))).where("record IS NOT NULL")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their file and their order in it."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+
+
 def from_bulk(lines: DataFrame, order: str = "n") -> DataFrame:
-    """Elasticsearch bulk: an action line, then its document. The lines carry their number."""
+    """Elasticsearch bulk: an action line, then its document. The lines carry their number, and their
+    file (a request's body is one file), without which they count as one body."""
     from pyspark.sql import Window
 
     before = Window.orderBy(order) if "file" not in lines.columns else Window.partitionBy("file").orderBy(order)

@@ -29,6 +29,12 @@ def test_bulk(spark):
     assert [(s, t, r["m"]) for s, t, r in rows(I.from_bulk(df))] == [("a", 1700000000 * US, 1), ("b", 1700000001 * US, 2)]
 
 
+def test_bulk_files(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.ndjson").write_text('{"index":{"_index":"%s"}}\n{"m":1,"_timestamp":1700000000}\n' % name)
+    assert {s for s, _, _ in rows(I.from_bulk(I.read_lines(spark, str(tmp_path))))} == {"a", "b"}
+
+
 def test_hec(spark):
     df = lines(spark, {"event": "hi", "time": 1700000000.5}, {"event": {"a": 1}, "index": "web", "time": 1700000001, "fields": {"z": "q"}}, {"event": 7, "time": 1700000002})
     got = rows(I.from_hec(df).where("record IS NOT NULL"))
