@@ -132,8 +132,8 @@ class Kernel:
         for place, codes, weight, norm in subsequences(words):
             k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
             word, triple = np.nonzero(self.codes[k] == codes)
-            for lo in range(0, len(word), 100_000):  # bounded blocks of matches
-                w, t = word[lo : lo + 100_000], triple[lo : lo + 100_000]
+            for lo in range(0, len(word), 25_000):  # bounded blocks of matches
+                w, t = word[lo : lo + 25_000], triple[lo : lo + 25_000]
                 first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
                 out[place[w[first]]] += np.add.reduceat(self.table[k[w, t]] * weight[t][:, None], first, axis=0)
             out[place] /= norm[:, None]
@@ -256,7 +256,9 @@ def _telling(bad: Counter, good: Counter, n_bad: int, n_good: int, error: float
 def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 2) -> Model:
     """Trains on labelled texts. Without an example of both classes, or without a telling word,
     every text gets the share of toxic ones (a half if there are no texts at all)."""
-    sets = [instances(t or "") for t in texts]
+    once: dict[str, str] = {}
+    sets = [{once.setdefault(w, w) for w in instances(t or "")} for t in texts]
+    del once
     y = np.array([int(bool(t)) for t in toxic], np.int64)
     groups = _different(sets)
     bad, good = Counter(), Counter()
