@@ -10,7 +10,7 @@ of its window. Either way a selector costs one shuffle, whatever its width. A sc
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -282,7 +282,7 @@ class Engine:
         if isinstance(node, P.String):
             return Text(node.value)
         if isinstance(node, P.Selector):
-            if node.at is not None:
+            if node.at is not None and not node.range:
                 return self._pinned(node)
             if node.range:
                 return Range(self._samples(node, node.range), node.range)
@@ -306,11 +306,11 @@ class Engine:
         """@: the value at one time, at every grid point (a grid has a bounded number of points)."""
         at = {"start": self.start, "end": self.end}.get(node.at, node.at)
         inner = Engine(self.catalog, at, at, self.step, self.lookback, self.strict, self.placeholder)
-        bare = P.Selector(node.name, node.matchers, None, node.offset)
-        if node.range:
-            raise P.PromqlError("@ on a range selector is not supported")
-        df = inner._instant(bare).df.drop("t")
-        return Vector(df.crossJoin(F.broadcast(self.grid())).select("labels", "sig", "t", "v"))
+        return self._everywhere(inner._instant(P.Selector(node.name, node.matchers, None, node.offset)))
+
+    def _everywhere(self, x: Vector) -> Vector:
+        """Values of one time at every grid point; there are at most MAX_POINTS of these."""
+        return Vector(x.df.drop("t").crossJoin(F.broadcast(self.grid())).select("labels", "sig", "t", "v"))
 
     def _subquery(self, node: P.Subquery) -> Range:
         step = node.step or self.step
@@ -342,6 +342,11 @@ class Engine:
         return Vector(out if name == "last_over_time" else self._unnamed(out))
 
     def _call(self, node: P.Call):
+        pinned = next((a for a in node.args if isinstance(a, P.Selector | P.Subquery) and a.at is not None and a.range), None)
+        if pinned is not None:  # a window that ends at one time, whatever the grid point
+            at = {"start": self.start, "end": self.end}.get(pinned.at, pinned.at)
+            inner = Engine(self.catalog, at, at, self.step, self.lookback, self.strict, self.placeholder)
+            return self._everywhere(inner._call(P.Call(node.name, [replace(a, at=None) if a is pinned else a for a in node.args])))
         name, args = node.name, [self.eval(a) for a in node.args]
         numbers = [a.literal for a in args if isinstance(a, Scalar)]
         if name == "time":

@@ -40,6 +40,8 @@ def test_selectors(cat):
     assert len(at(cat, '{__name__="temp",host=~"x|y"}')) == 2
     assert one(cat, 'temp{host="x"} offset 2m') == 7.0
     assert one(cat, 'temp{host="x"} @ 120') == 2.0
+    assert one(cat, 'sum_over_time(temp{host="x"}[2m] @ 240)') == 9.0
+    assert PQ.query_range(cat, 'sum_over_time(temp{host="x"}[2m] @ end())', 0, 540 * S, 60 * S).select("v").distinct().collect()[0].v == 24.0
     assert at(cat, "temp", 10_000) == {}
     assert len(at(cat, 'temp{missing="x"}')) == 2  # a matcher on no column is skipped
 
