@@ -63,12 +63,17 @@ class ByteTokenizer:
             self._lib = Tokenizer.from_file(self.path)
         return self._lib
 
+    def _by_library(self, text: str) -> bytes:
+        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
-            ids = self.lib.encode(text, add_special_tokens=False).ids
-        else:
+            return self._by_library(text)
+        try:
             ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its splitter gives up on runs of millions of white space characters
+            return self._by_library(text)
         return np.asarray(ids, "<u4").tobytes()
 
 
