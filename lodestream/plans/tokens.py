@@ -48,24 +48,15 @@ def tokens(sql: str) -> list[Token]:
 
 def render(parts: list[Token]) -> str:
     """Spark's spelling: backslashes in strings are only themselves, names are quoted by backticks."""
-    out: list[str] = []
+    sql, before = "", ""
     for t in parts:
         text = t.text
         if t.kind == "string":
             text = quoted(t.value)
         elif t.kind == "quoted" and text[0] == '"':
             text = f"`{t.value}`"
-        elif t.kind == "done":
-            text = t.text
-        out.append(text)
-    sql = " ".join(out)
-    return re.sub(r"(?<=[\w`]) \(|\( | (?=[,)])| ?\. ?(?=[\w`*])|(?<=\[) | (?=\])", lambda m: m.group().strip(), sql) if not any(t.kind in ("string", "done") for t in parts) else _tight(parts, out)
-
-
-def _tight(parts: list[Token], out: list[str]) -> str:
-    sql, before = "", ""
-    for t, text in zip(parts, out, strict=True):
-        glue = not sql or text in (",", ")", ".", "]", "::") or before in ("(", ".", "[", "::") or text == "(" and before and (before[-1].isalnum() or before[-1] in "_`") and before.upper() not in KEYWORDS
+        called = text == "(" and before and (before[-1].isalnum() or before[-1] in "_`") and before.upper() not in KEYWORDS
+        glue = not sql or called or text in (",", ")", ".", "]", "::") or before in ("(", ".", "[", "::")
         sql += text if glue else " " + text
         before = text
     return sql
