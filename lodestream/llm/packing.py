@@ -32,7 +32,7 @@ from .common import columns, map_texts, written
 
 CAPACITY = 2048
 #: Pieces of one length that are numbered together, about, unless that made more than SHARDS shards.
-SHARD, SHARDS = 20_000, 200_000
+SHARD, SHARDS = 2_000, 200_000
 
 #: The split that byte-level BPE files of this kind ask for with use_regex.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
