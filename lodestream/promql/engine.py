@@ -260,8 +260,11 @@ class Engine:
         met = df.groupBy("sig", "block").agg(F.any_value("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("ts", "v"))).alias("all"))
         n = (self.end - self.start) // self.step
         points = F.sequence(F.col("block") * block, F.least(F.col("block") * block + block - 1, F.lit(n)))
-        out = met.select("labels", "sig", "all", F.explode(F.transform(points, lambda k: F.lit(self.start) + k * self.step)).alias("t"))
-        return out.select("labels", "sig", "t", F.filter("all", lambda p: (p["ts"] >= F.col("t") - wide) & (p["ts"] <= F.col("t"))).alias("s")).where("size(s) > 0")
+        at = lambda k: F.lit(self.start) + k * self.step
+        inside = lambda k: F.filter("all", lambda p: (p["ts"] >= at(k) - wide) & (p["ts"] <= at(k)))
+        # made by the generator, as a projection would be copied into every place that uses it
+        each = F.explode(F.transform(points, lambda k: F.struct(at(k).alias("t"), inside(k).alias("s")))).alias("x")
+        return met.select("labels", "sig", each).select("labels", "sig", "x.t", "x.s").where("size(s) > 0")
 
     def _touch(self, df: DataFrame, wide: int, open_left: bool) -> DataFrame:
         """Each sample once for every grid point that it counts at."""
