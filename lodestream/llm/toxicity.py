@@ -154,6 +154,11 @@ class Model:
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
         self.known: dict[str, float] = {}
 
+    @property
+    def learned(self) -> bool:
+        """False if fit() found nothing to tell the classes by: all texts then have one score."""
+        return bool(self.weights.any())
+
     def __getstate__(self):
         return (self.weights, self.bias, self.slope, self.shift)
 
@@ -363,8 +368,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents, whole rows, that are not predicted toxic."""
+    """The documents, whole rows, that are not predicted toxic: all of them if the labels taught nothing."""
     model = fit(*sample_labelled(docs, labels, "toxic", sample))
+    if not model.learned:
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

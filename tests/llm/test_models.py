@@ -198,3 +198,10 @@ def test_toxicity_odd(spark, odd, empty):
         assert toxicity.keep_clean(empty, labels).count() == 0
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.5}
     assert toxicity.keep_clean(odd, some).columns == odd.columns
+
+
+def test_toxicity_nothing_learned(spark, odd):
+    """Without labels, with those of one class, and with too few to learn from, no document goes."""
+    for rows in ([], [(1, 1, 1), (2, 1, 1), (5, 1, 1)], [(1, 1, 0), (2, 1, 0)], [(1, 1, 1), (2, 1, 0)]):
+        kept = toxicity.keep_clean(odd, labels_of(spark, rows))
+        assert kept.columns == odd.columns and kept.count() == odd.count()
