@@ -17,7 +17,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -31,18 +31,28 @@ from .common import ascii_lower, columns, cut, fresh, map_texts, words_of
 from .components import components
 
 BITS, PIVOTS, BLOCK = 64, 16, 2048
+#: Rows, and bytes of their sets of shingles, in a block of near_copies.
+SIMILAR_BLOCK, SIMILAR_BYTES = 8192, 1 << 25
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+def hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's shingles in their order, as rows of bytes."""
     words = words_of(ascii_lower(text)) if text else []
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     if len(words) < shingle:
         parts = [" ".join(words)]
     else:
         parts = map(" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(p.encode("utf-8", "surrogatepass"), seed) for p in parts]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(p.encode("utf-8", "surrogatepass"), seed) for p in parts]), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    return _print(hashes(text, shingle, seed))
+
+
+def _print(raw: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(raw), 1 << 16):
         ones += np.unpackbits(raw[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
@@ -176,10 +186,167 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return prints.join(known, "fp").select("doc_id", "fp", "component_id", "group_size")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """The documents, whole rows, of which each is the least doc_id of its group. A doc_id that stands
-    in several rows stays, with all of them, if it is the least of any of their groups."""
-    found = near_duplicates(docs, radius, shingle, seed)
+def _set(raw: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct hashes in order, and a key that texts with the same ones share."""
+    found = np.unique(np.ascontiguousarray(raw).view(np.uint64).ravel())
+    return found, xxhash.xxh3_64_intdigest(found.tobytes())
+
+
+def _signatures(shingle: int, seed: int, whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp, keys, sizes, sets = [], [], [], []
+        for t in batch.column(1):
+            raw = hashes(t.as_py(), shingle, seed)
+            found, key = _set(raw)
+            fp.append(_print(raw))
+            keys.append(key)
+            sizes.append(len(found))
+            sets.append(found.tobytes() if whole else None)
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, keys)]
+        some = [pa.array(sets, pa.binary())] if whole else []
+        yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int64()), *some], ["doc_id", "fp", "key", "size", *(["shingles"] if whole else [])])
+
+
+PLACE = ["g", "h", "i", "j"]
+
+
+def _band(similarity: float) -> float:
+    """Sets of which one is under similarity times the other are not similar, so similar ones are in
+    one band of sizes or in neighbouring ones; a little wider, for rounding."""
+    return float(np.log(1 / similarity) + 1e-6)
+
+
+def _placed(nodes: DataFrame, similarity: float) -> DataFrame:
+    """The nodes at every place where they meet others: pairs of blocks from one band or two neighbours.
+    A block has up to 8192 rows, fewer where sets are long, so that its sets fit in memory."""
+    width = _band(similarity)
+    banded = nodes.withColumn("g", F.floor(F.log(F.col("size")) / width).cast("int"))
+    counts = {r["g"]: r["count"] for r in banded.groupBy("g").count().collect()}  # a row for each band
+    if not counts:
+        return banded.select("key", "fp", "size", *[F.lit(0).alias(c) for c in PLACE], F.lit(0).alias("side")).limit(0)
+    parts = {g: -(-n // max(16, min(SIMILAR_BLOCK, int(SIMILAR_BYTES / (8 * np.exp((g + 1) * width)))))) for g, n in counts.items()}
+    of = F.create_map(*[F.lit(int(x)) for kv in parts.items() for x in kv])
+    n = lambda g: F.coalesce(F.element_at(of, g), F.lit(0))
+    g = F.col("g")
+    own = F.pmod(F.xxhash64("key"), n(g)).cast("int")
+    at = lambda a, b, i, j, side: F.struct(a.alias("g"), b.alias("h"), i.alias("i"), j.alias("j"), side.alias("side"))
+    upto = lambda k: F.filter(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda x: x < k)
+    home = F.transform(upto(n(g)), lambda k: at(g, g, F.least(own, k), F.greatest(own, k), (own > k).cast("int")))
+    above = F.transform(upto(n(g + 1)), lambda k: at(g, g + 1, own, k, F.lit(0)))
+    below = F.transform(upto(n(g - 1)), lambda k: at(g - 1, g, k, own, F.lit(1)))
+    return banded.select("key", "fp", "size", F.explode(F.concat(home, above, below)).alias("at")).select("key", "fp", "size", *[f"at.{c}" for c in PLACE], "at.side")
+
+
+def _by_place(fn: Callable, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls fn with the rows of each place; they come sorted by place, over several batches."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        place = np.stack([t[c].to_numpy() for c in PLACE], axis=1)
+        edge = [0, *(np.flatnonzero(np.diff(place, axis=0).any(axis=1)) + 1).tolist(), len(place)]
+        for a, b in zip(edge, edge[1:], strict=False):
+            if b - a > 1:
+                yield fn(t.slice(a, b - a))
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = np.stack([batch.column(names.index(c)).to_numpy() for c in PLACE], axis=1)
+        edge = [0, *(np.flatnonzero(np.diff(place, axis=0).any(axis=1)) + 1).tolist(), len(place)]
+        for a, b in zip(edge, edge[1:], strict=False):
+            if held and tuple(place[a]) != last:
+                yield from flush()
+                held = []
+            last = tuple(place[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from flush()
+
+
+def _near(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Which of the fingerprints y, of sets of n shingles, can be similar to each x, of m."""
+    near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
+    i, j = np.nonzero(near)
+    near[i, j] = np.minimum(m[i], n[j]) >= similarity * np.maximum(m[i], n[j])
+    return near
+
+
+def _candidates(radius: int, similarity: float, t: pa.Table) -> pa.RecordBatch:
+    """The rows of a place that are within the radius of another one."""
+    fp, size, side = t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy(), t["side"].to_numpy()
+    g, h, i, j = (t[c][0].as_py() for c in PLACE)
+    hit = np.zeros(len(fp), bool)
+    left = np.arange(len(fp)) if (g, i) == (h, j) else np.flatnonzero(side == 0)
+    right = left if (g, i) == (h, j) else np.flatnonzero(side == 1)
+    for lo in range(0, len(left), 128):
+        some = left[lo : lo + 128]
+        others = right[lo:] if left is right else right
+        near = _near(fp[some], fp[others], size[some], size[others], radius, similarity)
+        if left is right:
+            np.fill_diagonal(near, False)
+        hit[some] |= near.any(axis=1)
+        hit[others] |= near.any(axis=0)
+    out = t.filter(pa.array(hit)).combine_chunks()
+    return pa.RecordBatch.from_arrays([out[c].combine_chunks() if isinstance(out[c], pa.ChunkedArray) else out[c] for c in ["key", *PLACE, "side"]], ["key", *PLACE, "side"])
+
+
+def _similar(radius: int, similarity: float, t: pa.Table) -> pa.RecordBatch:
+    """A spanning forest of the similar pairs of a place; pairs that it joins already are not compared."""
+    fp, size, key, side = t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy(), t["key"].to_numpy(), t["side"].to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]
+    g, h, i, j = (t[c][0].as_py() for c in PLACE)
+    one = (g, i) == (h, j)
+    label, out = np.arange(len(fp)), []
+    for a in range(len(fp)) if one else np.flatnonzero(side == 0).tolist():
+        near = _near(fp[a : a + 1], fp, size[a : a + 1], size, radius, similarity)[0]
+        near &= np.arange(len(fp)) > a if one else side == 1
+        for b in np.flatnonzero(near).tolist():
+            if label[a] != label[b]:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= similarity * (size[a] + size[b] - both):
+                    label[label == label[b]] = label[a]
+                    out.append((int(key[a]), int(key[b])))
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+def near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """doc_id, component_id: one row per document. Two documents are linked if their fingerprints
+    differ in at most radius bits and their sets of shingles have at least this Jaccard similarity.
+
+    At a wide radius choices of blocks and pivots discard hardly a pair, but similar sets have
+    similar sizes: rows meet all others of their band of sizes, and those that have another one
+    within the radius there meet again with their shingles. Nulls, repeated rows and empty tables
+    are as in near_duplicates."""
+    rows = columns(docs, "doc_id", "text")
+    prints = cut(map_texts(rows, partial(_signatures, shingle, seed, False), "doc_id long, fp long, key long, size long"))
+    nodes = prints.where("size > 0").select("key", "fp", "size").distinct()
+    names = ["key", "fp", "size", *PLACE, "side"]
+    kinds = ", ".join(f"{c} int" for c in [*PLACE, "side"])
+    met = _placed(nodes, similarity).select(*names).repartition(*PLACE).sortWithinPartitions(*PLACE)
+    near = cut(map_texts(met, partial(_by_place, partial(_candidates, radius, similarity), names), f"key long, {kinds}"))
+    key = fresh("id")
+    wanted = prints.join(near.select("key").distinct(), "key", "left_semi").select(F.col("doc_id").alias(key)).distinct()
+    again = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    sets = map_texts(again, partial(_signatures, shingle, seed, True), "doc_id long, fp long, key long, size long, shingles binary").drop("doc_id").dropDuplicates(["key", "fp"])
+    names = [*PLACE, "side", "key", "fp", "size", "shingles"]
+    again = near.distinct().join(sets, "key").select(*names).repartition(*PLACE).sortWithinPartitions(*PLACE)
+    links = cut(map_texts(again, partial(_by_place, partial(_similar, radius, similarity), names), "a long, b long").where("a <> b").distinct())
+    found = components(links)
+    nodes = prints.groupBy("key").agg(F.min("doc_id").alias("least"))
+    rooted = nodes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = rooted.select("key", "root").join(heads, "root").select("key", "component_id")
+    return prints.join(known, "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, similarity: float | None = None) -> DataFrame:
+    """The documents, whole rows, of which each is the least doc_id of its group: that of
+    near_duplicates, or with a similarity that of near_copies. A doc_id that stands in several rows
+    stays, with all of them, if it is the least of any of their groups."""
+    found = near_duplicates(docs, radius, shingle, seed) if similarity is None else near_copies(docs, radius, shingle, similarity, seed)
     key = fresh("id")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key))
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay[key]), "left_semi")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -6,6 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline as P
+
 from lodestream.llm import components, exact_dedup, queries, simhash, substring_dedup
 
 from .conftest import make, words
@@ -134,6 +137,40 @@ def test_simhash_odd_and_empty(odd, empty):
     assert kept.columns == odd.columns and simhash.keep_one(empty).count() == 0
 
 
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+@pytest.mark.parametrize("block", [8192, 3])
+def test_simhash_similar(spark, monkeypatch, block):
+    """Near copies that differ in more than four bits go; the groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "SIMILAR_BLOCK", block)
+    rng = random.Random(5)
+    texts = []
+    for n in [30, 60, 60, 90, 150, 400]:
+        base = [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(n)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(1 + n // 40)):
+                w[rng.randrange(n)] = "edit" + str(rng.randrange(999))
+            texts.append(" ".join(w))
+    texts += ["a b", "A  b", "", None, "c"]
+    low = [words((t or "").translate(LOWER)) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in low]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    links = [(i, j) for i in label for j in label[:i] if sets[i] == sets[j] or (jaccard(sets[i], sets[j]) >= 0.8 and (prints[i] ^ prints[j]).bit_count() <= 14)]
+    assert any((prints[i] ^ prints[j]).bit_count() > 4 for i, j in links)
+    for _ in texts:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    df = make(spark, texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df, 14, 5, 0.8).collect()}
+    assert got == dict(enumerate(label))
+    kept = {r.doc_id for r in P.drop_near_copies(spark, df, "").collect()}
+    assert kept == set(label)
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
