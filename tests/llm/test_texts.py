@@ -219,3 +219,16 @@ def test_licence_bounds_lose_nothing(seed):
         scores = [(2 * len(pairs & s) / (len(pairs) + len(s)), n) for n, s in sets if pairs]
         best = min(((-d, n) for d, n in scores if d >= 0.6), default=None)
         assert matcher.best(" ".join(w)) == (best and (-best[0], best[1]))
+
+
+def test_license_windows(spark):
+    """Wrapped, inline and whole texts; each line alone is under the threshold."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    gpl = "some words\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\nother words"
+    inline = ["Copyright 2024 Foo. Released under the MIT License.", "Copyright (c) 2024 Foo Inc. All rights reserved."]
+    whole = dict(license_scan.window_templates())
+    texts = [mit, mit.replace("\n", " "), gpl, *inline, "a\n" + next(t for n, t in license_scan.window_templates() if n == "Apache-2.0" and len(t) > 5000), "all of it\nrights are reserved"]
+    got = [(r.n_license_lines, r.licenses) for r in license_scan.scan(make(spark, texts)).orderBy("doc_id").collect()]
+    assert got[:5] == [(6, "MIT"), (1, "MIT"), (4, "GPL-3.0"), (1, "MIT"), (1, "Proprietary")]
+    assert got[5][0] > 150 and "Apache-2.0" in got[5][1].split(",") and got[6] == (0, "")
+    assert set(license_scan.WHOLE) <= set(whole)
