@@ -12,15 +12,19 @@ edge goes. The graph is never built edge by edge over the whole corpus:
    that it has. If all are the same, the path doesn't branch there and the whole fragment is
    repeated. Else the path branches inside, and one copy of each different fragment is opened
    into its edges.
-3. Verification: these edges are read again at their source coordinates, hashed over all their
-   words (128 bits), counted over the copies of their fragments, and those found twice are
-   marked in each fragment.
+3. Verification: the words of these edges are read again at their source coordinates, and the
+   edges counted over the copies of their fragments; those found twice are marked in each fragment.
 4. Marked fragments return to their documents as intervals of words, which merge into spans.
 
-Hashes stand for words throughout: 64 bits a word, 128 for a window or a fragment.
+Hashes of words choose minimizers and nothing else: a collision there makes a candidate more,
+never a repeat. Fragments and windows are equal if the BLAKE2b digests (128 bits) of their own
+words, read at their coordinates and joined by one space, are equal.
 
 Defined cases: a null or empty text has no words; a text shorter than the window never loses
-any; rows repeated with one doc_id count as separate places; an empty table gives no rows.
+any; a very long text only has more fragments, each of bounded length; rows repeated with one
+doc_id count as separate places, so a row that stands twice loses what its copy repeats; there
+are no ties, as every place of a repeated window goes; other columns are not looked at, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import columns, dropped, fresh, map_texts, written
 
 WINDOW, KMER = 35, 12
+#: A fragment's kind: its minimizer and the digest of its words.
+KIND = ("minimizer", "c1", "c2")
 #: A fixed random number for each byte.
 _BYTES = np.random.default_rng(35).integers(0, 1 << 64, 256, np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -85,28 +91,32 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _hashes(raw, start - start[0])
 
 
-class Spans:
-    """Hashes of any span of a sequence of word hashes, 64 bits for each part, from running sums."""
+def _digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """Two longs for each stretch of bytes."""
+    view, digest = memoryview(raw), hashlib.blake2b
+    found = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
 
-    def __init__(self, words: np.ndarray, parts: int = 2):
-        n = len(words)
-        self.sums, self.back = [], []
-        for part, root, back in list(zip((words, _mix(words)), _ROOTS, _BACK, strict=True))[:parts]:
-            power = np.ones(n + 1, np.uint64)
-            power[1:] = root
-            undo = np.ones(n + 1, np.uint64)
-            undo[1:] = back
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(part * np.cumprod(power)[:n], out=total[1:])
-            self.sums.append(total)
-            self.back.append(np.cumprod(undo))
 
-    def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> list[np.ndarray]:
-        return [_mix((s[end] - s[start]) * b[start] + np.asarray(salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64) for s, b in zip(self.sums, self.back, strict=True)]
+class Words:
+    """The words of a column of texts, joined by one space over all texts, with their hashes."""
 
+    def __init__(self, texts: list[bytes | None]):
+        split = [t.split() if t else [] for t in texts]
+        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
+        self.raw = b" ".join([w for ws in split for w in ws])
+        raw = np.frombuffer(self.raw, np.uint8)
+        self.hashes = _hashes(raw, np.array([0, len(raw)]))[0]
+        self.edge = np.append(np.flatnonzero(np.append(True, raw[:-1] == 32)) if len(raw) else [], len(raw) + 1).astype(np.int64)
 
-def fragments(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, kmer: int = KMER, spans: bool = True):
-    """(text, start, windows, minimizer, hash of all its words) of each fragment, as arrays."""
+    def digests(self, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+        """Of the words start to end (not included), by their numbers over all texts."""
+        return _digests(self.raw, self.edge[start], self.edge[end] - 1)
+
+
+def fragments(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, kmer: int = KMER):
+    """(text, start, windows, minimizer, first word's number over all texts) of each fragment, as arrays."""
     width = window - kmer + 1
     m = len(words) - window + 1
     if m <= 0:
@@ -130,8 +140,7 @@ def fragments(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, kmer:
     first = np.flatnonzero(new)
     begin, count = fits[first], np.diff(np.append(first, len(fits)))
     text = owner[begin]
-    whole = Spans(words, 1).of(begin, begin + count + window - 1, (at[begin] - begin) * 4096 + count)[0] if spans else None
-    return [text, begin - (ends - sizes)[text], count, k[at[begin]].view(np.int64), whole]
+    return [text, begin - (ends - sizes)[text], count, k[at[begin]].view(np.int64), begin]
 
 
 def _named(docs: DataFrame, id_: str = "id", row: str = "row") -> DataFrame:
@@ -149,16 +158,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _minimizers(window: int, kmer: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = fragments(*_words(batch.column(0)), window, kmer, spans=False)
+        found = fragments(*_words(batch.column(0)), window, kmer)
         value, n = np.unique(found[3], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], ["minimizer", "n"])
 
 
 def _fragments(window: int, kmer: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, start, n, minimizer, whole = fragments(*_words(batch.column(2)), window, kmer)
+        words = Words(batch.column(2).cast(pa.binary()).to_pylist())
+        text, start, n, minimizer, begin = fragments(words.hashes, words.sizes, window, kmer)
         take = pa.array(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int8)), pa.array(minimizer), pa.array(whole)], ["id", "row", "start", "windows", "minimizer", "whole"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int8)), pa.array(minimizer), *words.digests(begin, begin + n + window - 1)], ["id", "row", "start", "windows", *KIND])
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,22 +183,21 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _edges(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Opens the fragments listed in a document into their windows, hashed over all their words."""
-    names = ["minimizer", "whole", "copies", "place", "w1", "w2"]
+    """Opens the fragments listed in a document into their windows, read again at their coordinates."""
+    names = [*KIND, "copies", "place", "w1", "w2"]
     for batch in batches:
-        words, sizes = _words(pa.array(_texts(batch.column(0)), pa.binary()))
-        spans, first = Spans(words), np.cumsum(sizes) - sizes
+        words = Words(_texts(batch.column(0)))
+        first = np.cumsum(words.sizes) - words.sizes
         found = batch.column(1)
         of = found.flatten()
         if not len(of):
             continue
         text = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
-        part = {x: of.field(x).to_numpy(zero_copy_only=False) for x in ("minimizer", "whole", "copies", "start", "windows")}
+        part = {x: of.field(x).to_numpy(zero_copy_only=False) for x in (*KIND, "copies", "start", "windows")}
         n = part["windows"].astype(np.int64)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(first[text] + part["start"], n) + place
-        w1, w2 = spans.of(at, at + window)
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part[x], n)) for x in names[:3]), pa.array(place.astype(np.int8)), pa.array(w1), pa.array(w2)], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part[x], n)) for x in names[:4]), pa.array(place.astype(np.int8)), *words.digests(at, at + window)], names)
 
 
 def repeated_fragments(keyed: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -198,10 +207,10 @@ def repeated_fragments(keyed: DataFrame, window: int = WINDOW, kmer: int = KMER)
         raise ValueError("a fragment has window - kmer + 1 windows at most, and one bit for each")
     counted = map_texts(keyed.select("text"), partial(_minimizers, window, kmer), "minimizer long, n long")
     often = written(counted.groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))
-    every = map_texts(keyed.select("id", "row", "text"), partial(_fragments, window, kmer), "id long, row long, start int, windows byte, minimizer long, whole long")
+    every = map_texts(keyed.select("id", "row", "text"), partial(_fragments, window, kmer), "id long, row long, start int, windows byte, minimizer long, c1 long, c2 long")
     some = written(every.join(often, "minimizer"))
     dropped(often)
-    key = ["minimizer", "whole"]
+    key = list(KIND)
     kinds = written(some.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "row", "start", "windows")).alias("at")))
     # Written out, like twice below, so that the joins deal out both of their sides: a passage that a third
     # of all documents hold has as many different fragments at its ends, and its key can then be split.
@@ -211,7 +220,7 @@ def repeated_fragments(keyed: DataFrame, window: int = WINDOW, kmer: int = KMER)
     # A row that is repeated whole opens its fragments twice; each of its windows is repeated anyway.
     pressed = map_texts(keyed.select("id", "row", "text"), _pressed, "id long, row long, text binary")
     texts = pressed.join(opened, ["id", "row"]).select("text", "found")
-    edges = written(map_texts(texts, partial(_edges, window), "minimizer long, whole long, copies long, place byte, w1 long, w2 long"))
+    edges = written(map_texts(texts, partial(_edges, window), "minimizer long, c1 long, c2 long, copies long, place byte, w1 long, w2 long"))
     twice = written(edges.groupBy("minimizer", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"))
     parts = edges.join(twice, ["minimizer", "w1", "w2"]).groupBy(*key).agg(F.expr("bit_or(shiftleft(1L, cast(place AS int)))").alias("mask"))
     found = written(some.join(straight.unionByName(parts), key).groupBy("id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("found")))

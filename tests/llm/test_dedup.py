@@ -226,6 +226,36 @@ def test_substring_random(spark, seed):
         assert all(all(gone[a:b]) for a, b in spans)
 
 
+def twins():
+    """Two different words to which the hash that picks minimizers gives one value."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_substring_twins_stay(spark):
+    """Words whose hashes collide are told apart by their letters."""
+    import pyarrow as pa
+
+    a, b = twins()
+    h, _ = substring_dedup._words(pa.array([a, b]))
+    assert h[0] == h[1]
+    head = " ".join(f"w{i}" for i in range(34))
+    rows = substring_dedup.remove(make(spark, [f"{head} {a}", f"{head} {b}", f"x {head} {b}"])).orderBy("doc_id").collect()
+    assert [r.n_removed for r in rows] == [0, 35, 35] and rows[2].kept == "x"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_substring_all_hashes_collide(spark, seed):
+    """Texts of colliding words only: every window has one minimizer, and the words decide."""
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choices(twins(), k=rng.randrange(5, 40))) for _ in range(12)]
+    rows = {r.doc_id: r for r in substring_dedup.remove(make(spark, texts), window=9, kmer=4).collect()}
+    found = brute_removed(texts, 9)
+    assert any(any(g) for _, g in found) and not all(all(g) for _, g in found)
+    for i, (w, gone) in enumerate(found):
+        assert rows[i].kept == " ".join(x for x, g in zip(w, gone, strict=True) if not g), i
+
+
 def test_substring_odd_and_empty(odd, empty):
     rows = substring_dedup.remove(odd).collect()
     assert len(rows) == odd.count()
