@@ -119,6 +119,12 @@ _LONG = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _unknown(c: str) -> bool:
+    """A character that Python's tables and the library's may treat differently: one unassigned here."""
+    return unicodedata.category(c) == "Cn"
+
+
 class WordTokenizer:
     """The automaton behind the normalisation, the word splitting and the special tokens of a
     word-level BPE file (NFC, lower case, white space dropped, a mark at word ends)."""
@@ -135,17 +141,30 @@ class WordTokenizer:
         self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_symbols()
+        self.path, self._lib = path, None
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, str] = {}
 
-    @staticmethod
-    def words(text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         if text.isascii():
             return _ASCII.findall(text.lower())
+        if any(map(_unknown, set(text))):
+            return self.library_words(text)
         text = unicodedata.normalize("NFC", text)
         lower = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         return _LONG.findall(lower)
 
+    def library_words(self, text: str) -> list[str]:
+        """By the file's own normaliser and splitter, whose tables know newer characters than Python's."""
+        if self._lib is None:
+            from tokenizers import Tokenizer
+
+            self._lib = Tokenizer.from_file(self.path)
+        text = self._lib.normalizer.normalize_str(text)
+        split = self._lib.pre_tokenizer.pre_tokenize_str(text)
+        byte = {c: b for b, c in enumerate(self.bytes)}
+        return [bytes(map(byte.__getitem__, shown)).decode("utf-8") for shown, _ in split]
+
     def word_ids(self, word: str) -> list[int]:
         return self.automaton.path(word.encode("utf-8").decode("latin-1").translate(self.bytes))
 

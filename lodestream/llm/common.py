@@ -20,7 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 #: A-Z to a-z and nothing else: no other letter changes, so word bounds and lengths stay.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Rows in an Arrow batch of whole texts: some texts are megabytes long.
+#: Rows of whole texts that a worker takes at once: some texts are megabytes long.
 TEXT_BATCH = 400
 
 
@@ -41,12 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """A checkpoint folder (the cluster's own where it names one) and bounded Arrow batches."""
+    """A checkpoint folder: the cluster's own, or on a single machine a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-"))
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestream-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -96,12 +97,17 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, in a worker that gives memory back: two of them share an executor with a JVM."""
-    ready(df.sparkSession)
+    """mapInArrow in steps of TEXT_BATCH rows (Spark bounds a batch's bytes), in a worker that gives
+    memory back: two of them share an executor with a JVM."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, max(batch.num_rows, 1), TEXT_BATCH):
+                yield batch.slice(lo, TEXT_BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from fn(batches)
+            yield from fn(steps(batches))
         finally:
             give_back()
 

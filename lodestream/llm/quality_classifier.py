@@ -33,7 +33,7 @@ _RUNS = [(re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), "A"), (re.compile(r"[^\W\d_A]+"
 def shape(word: str) -> str:
     for run, sign in _RUNS:
         word = run.sub(sign, word)
-    return word[:8]
+    return word
 
 
 class _Places(dict):

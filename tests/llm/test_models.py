@@ -51,6 +51,7 @@ def test_quality_odd(spark, odd, empty):
 
 def test_shapes():
     assert quality_classifier.shape("Hello42!!!") == "Aa0!!"
+    assert quality_classifier.shape("aB1" * 9) == "aA0" * 9  # whole words, never prefixes
     assert quality_classifier.features(None)[0].tolist() == [quality_classifier.SIZE - 1]
 
 

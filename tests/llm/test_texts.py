@@ -56,6 +56,19 @@ def test_bpe_strange_texts(spark, odd, empty):
     assert bpe_automaton.encode(empty, WORD_BPE).count() == 0
 
 
+def test_bpe_all_characters():
+    """Every code point, assigned ones apart from those that Python's tables don't know."""
+    import unicodedata
+
+    lib, tok = Tokenizer.from_file(WORD_BPE), bpe_automaton.tokenizer(WORD_BPE)
+    every = [chr(c) for c in (*range(0x32400), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    for unknown in (False, True):
+        some = [c for c in every if (unicodedata.category(c) == "Cn") == unknown]
+        for lo in range(0, len(some), 200):
+            text = " ".join(f"a{c}b {c}1{c}" for c in some[lo : lo + 200])
+            assert memoryview(tok.encode(text)[0]).cast("I").tolist() == lib.encode(text, add_special_tokens=False).ids, hex(ord(some[lo]))
+
+
 def brute_bpe(symbols, merges):
     """Textbook BPE: the earliest merge that applies, at its leftmost place, again and again."""
     rank = {m: i for i, m in enumerate(merges)}
