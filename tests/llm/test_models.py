@@ -78,38 +78,102 @@ def test_lm_query(spark, sf, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_small_tables(spark, monkeypatch, texts):
-    """Few own classes and known tokens, so that the joined tail is exercised."""
-    monkeypatch.setattr(language_model, "OWN", 8)
-    monkeypatch.setattr(language_model, "KNOWN", 40)
+def plain_score(text, counts, fitted):
+    """log10 P(text) in plain Python, token by token, from the counts and the trained rows."""
+    L = language_model
+    _, _, _, v, rows = fitted
+    r, q, c, m = (x.astype(float) for x in v.views(rows))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    said = [w.translate(lower).encode() for w in words(text)] + [b""]
+    place = {t: i for i, t in enumerate(v.tokens)}
+    number = lambda w: place.get(w, v.known + zlib.crc32(w[-2:]) % L.SPELLED)
+    before, total = [number(b"")] * L.CONTEXT, 0.0
+    for w in said:
+        hidden = sum(r[h] @ m[j * (L.WIDTH + 1) : (j + 1) * (L.WIDTH + 1)] for j, h in enumerate(reversed(before)))
+        hidden[-1] = 1
+        k = number(w)
+        e = np.exp(c @ hidden)
+        total += math.log10(e[v.of[k]] / e.sum())
+        if k < v.known:
+            same = [i for i in range(v.known) if v.of[i] == v.of[k]]
+            e = np.exp(q[same] @ hidden)
+            total += math.log10(e[same.index(k)] / e.sum())
+        else:
+            t = k - v.known
+            others = [n for x, n in counts.items() if x not in place and zlib.crc32(x[-2:]) % L.SPELLED == t]
+            mass, once = sum(others) + len(others), others.count(1)
+            unseen = min(max(once / max(sum(others), 1), 1 / (mass + 1)), 0.9 if mass else 1.0)
+            total += math.log10((counts[w] + 1) / mass * (1 - unseen)) if w in counts else math.log10(unseen)
+        before = [*before[1:], k]
+    return total
+
+
+def test_lm_against_plain_python(spark, monkeypatch, texts):
+    """Few tokens with vectors, so that spelling classes and the join are exercised."""
+    monkeypatch.setattr(language_model, "KNOWN", 150)
     ids = list(texts)[:60]
-    rows = language_model.score(make(spark, [texts[i] for i in ids])).collect()
+    df = make(spark, [texts[i] for i in ids])
+    rows = {r.doc_id: r for r in language_model.score(df).collect()}
     want = brute_base([texts[i] for i in ids], list(range(60)))
-    for r in rows:
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
-        assert r.base_score == pytest.approx(want[r.doc_id][4], rel=1e-9)
+    for k, r in rows.items():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[k][:4]
+        assert r.base_score == pytest.approx(want[k][4], rel=1e-9)
+    learns = df.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 7) <> 2").select("text")
+    fitted = language_model.fit(learns)
+    counts = {bytes(r.token): r.n for r in fitted[0].collect()}
+    assert 1 < fitted[3].known <= 150 and sum(counts.values()) == fitted[1]
+    for k in sorted(rows, key=lambda k: rows[k].n_tokens)[:12]:
+        assert rows[k].score == pytest.approx(plain_score(texts[ids[k]], counts, fitted), rel=1e-3), k
 
 
 def test_lm_normalised():
-    """The table's rows and the shares within classes each sum to one over all events."""
-    rng = np.random.default_rng(1)
-    logs = language_model.train(rng.integers(0, 50, (20, 20)))
-    assert (10**logs).sum(axis=1) == pytest.approx(np.ones(20))
-    top = [(f"w{i}".encode(), 1000 // (i + 1)) for i in range(900)] + [(language_model.END, 5)]
-    top.sort(key=lambda x: (-x[1], x[0]))
-    known, tail = top[:700], top[700:]
-    c = language_model.Classes(known, sum(n for _, n in top), len(top), 250)
-    share = np.zeros(c.size)
-    np.add.at(share, c.of[:-1], 10 ** c.share[:-1])
-    assert share[: c.tail] == pytest.approx(np.ones(c.tail))
-    assert sum((n + 1) * 10**c.log_seen for _, n in tail) + 10**c.log_unseen == pytest.approx(1)
+    """Probabilities of all targets after one context, and shares in a spelling class, sum to one."""
+    L = language_model
+    top = sorted([(f"w{i}".encode(), 1000 // (i + 1) + 1) for i in range(700)] + [(L.END, 50)], key=lambda x: (-x[1], x[0]))
+    rest = [f"r{i}x{i % 7}".encode() for i in range(300)]
+    tail = np.zeros((L.SPELLED, 3))
+    for i, w in enumerate(rest):
+        tail[L.spelled(w)] += (1 + i % 3, 1, i % 3 == 0)
+    v = L.Vocabulary(top, tail)
+    rows = v.fresh() + np.random.default_rng(2).normal(0, 0.3, (v.rows, L.WIDTH + 1)).astype(np.float32)
+    s = L.Sequence([[b"w1"]], v.places())
+    events = v.known + L.SPELLED
+    s.flat = np.concatenate([[*range(5, 5 + L.CONTEXT), i] for i in range(events)]).astype(np.uint16)
+    s.target = np.tile(np.arange(L.CONTEXT + 1) == L.CONTEXT, events)
+    assert np.exp(L.log_probabilities(v, rows, s)).sum() == pytest.approx(1, abs=1e-4)
+    for t in range(L.SPELLED):
+        share = sum((2 + i % 3) * 10 ** v.log_seen[t] for i, w in enumerate(rest) if L.spelled(w) == t) + 10 ** v.log_unseen[t]
+        assert share == pytest.approx(1)
 
 
 def test_lm_learns_order():
-    follows = np.zeros((4, 4), int)
-    follows[0, 1] = follows[1, 2] = follows[2, 0] = 1000
-    logs = language_model.train(follows)
-    assert [int(logs[h].argmax()) for h in range(3)] == [1, 2, 0]
+    """A cycle of words that unigrams can't tell apart."""
+    L = language_model
+    said = [[f"w{i % 40}".encode() for i in range(k, k + 200)] + [L.END] for k in range(50)]
+    top = sorted([(f"w{i}".encode(), 250) for i in range(40)] + [(L.END, 50)], key=lambda x: (-x[1], x[0]))
+    v = L.Vocabulary(top, np.zeros((L.SPELLED, 3)))
+    t = L.Trainer(v, v.fresh(), np.full(v.rows, 1e-2, np.float32))
+    s = L.Sequence(said, v.places())
+    before = L.log_probabilities(v, t.rows, s).mean()
+    for _ in range(30):
+        t.learn(s, 512)
+    assert before < -3.5 and L.log_probabilities(v, t.rows, s).mean() > -1
+
+
+def test_lm_beats_bigrams(spark):
+    """Held-out documents of sf0.01 against interpolated bigrams, with the best of three weights."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    said = {i: [w.lower() for w in (t or "").encode().split()] + [b""] for i, t in texts.items()}
+    one, two = Counter(), Counter()
+    for i in set(texts) - held:
+        one.update(said[i])
+        two.update(zip([b"", *said[i][:-1]], said[i], strict=True))
+    n, v = sum(one.values()), len(one)
+    pairs = [(h, w) for i in held for h, w in zip([b"", *said[i][:-1]], said[i], strict=True)]
+    best = max(sum(math.log10(k * two[p] / max(one[p[0]], 1) + (1 - k) * (one[p[1]] + 1) / (n + v + 1)) for p in pairs) for k in (0.1, 0.3, 0.5))
+    assert sum(r.score for r in queries.op9_lm_scoring(spark, sf).collect() if r.held_out) > best
 
 
 def test_lm_odd(spark, odd, empty):
