@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, columns, cut, fresh, map_texts, words_of
+from .common import ascii_lower, columns, cut, dropped, fresh, map_texts, words_of, written
 from .components import components
 
 BITS, PIVOTS, BLOCK = 64, 16, 2048
-#: Rows, and bytes of their sets of shingles, in a block of near_copies.
-SIMILAR_BLOCK, SIMILAR_BYTES = 8192, 1 << 25
+#: Counters of near_copies' sketch, the rows that carry them, and salts of common shingles.
+SKETCH, PIECES, SALTS = 1 << 19, 64, 16
+PLACE = ["shingle", "i", "j"]
 
 
 def hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -181,7 +182,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     found = components(cut(links(nodes, nodes.count(), radius)))
     rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("group_size"))
+    # written out, so that the join with the largest component's fingerprints can be split
+    heads = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("group_size")))
     known = rooted.select("fp", "root").join(heads, "root").select("fp", "component_id", "group_size")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id", "group_size")
 
@@ -192,156 +194,200 @@ def _set(raw: np.ndarray) -> tuple[np.ndarray, int]:
     return found, xxhash.xxh3_64_intdigest(found.tobytes())
 
 
-def _signatures(shingle: int, seed: int, whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _longs(values: list[int] | np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(values, np.uint64).view(np.int64))
+
+
+def _signatures(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document; and at the end this task's counts of shingles by their hashes modulo
+    SKETCH, in PIECES rows with a piece."""
+    names = ["doc_id", "fp", "key", "size", "piece", "counts"]
+    held = np.zeros(SKETCH, np.int64)
     for batch in batches:
-        fp, keys, sizes, sets = [], [], [], []
+        fp, keys, sets = [], [], []
         for t in batch.column(1):
             raw = hashes(t.as_py(), shingle, seed)
             found, key = _set(raw)
             fp.append(_print(raw))
             keys.append(key)
-            sizes.append(len(found))
-            sets.append(found.tobytes() if whole else None)
-        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, keys)]
-        some = [pa.array(sets, pa.binary())] if whole else []
-        yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int64()), *some], ["doc_id", "fp", "key", "size", *(["shingles"] if whole else [])])
-
-
-PLACE = ["g", "h", "i", "j"]
-
-
-def _band(similarity: float) -> float:
-    """Sets of which one is under similarity times the other are not similar, so similar ones are in
-    one band of sizes or in neighbouring ones; a little wider, for rounding."""
-    return float(np.log(1 / similarity) + 1e-6)
-
-
-def _placed(nodes: DataFrame, similarity: float) -> DataFrame:
-    """The nodes at every place where they meet others: pairs of blocks from one band or two neighbours.
-    A block has up to 8192 rows, fewer where sets are long, so that its sets fit in memory."""
-    width = _band(similarity)
-    banded = nodes.withColumn("g", F.floor(F.log(F.col("size")) / width).cast("int"))
-    counts = {r["g"]: r["count"] for r in banded.groupBy("g").count().collect()}  # a row for each band
-    if not counts:
-        return banded.select("key", "fp", "size", *[F.lit(0).alias(c) for c in PLACE], F.lit(0).alias("side")).limit(0)
-    parts = {g: -(-n // max(16, min(SIMILAR_BLOCK, int(SIMILAR_BYTES / (8 * np.exp((g + 1) * width)))))) for g, n in counts.items()}
-    of = F.create_map(*[F.lit(int(x)) for kv in parts.items() for x in kv])
-    n = lambda g: F.coalesce(F.element_at(of, g), F.lit(0))
-    g = F.col("g")
-    own = F.pmod(F.xxhash64("key"), n(g)).cast("int")
-    at = lambda a, b, i, j, side: F.struct(a.alias("g"), b.alias("h"), i.alias("i"), j.alias("j"), side.alias("side"))
-    upto = lambda k: F.filter(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda x: x < k)
-    home = F.transform(upto(n(g)), lambda k: at(g, g, F.least(own, k), F.greatest(own, k), (own > k).cast("int")))
-    above = F.transform(upto(n(g + 1)), lambda k: at(g, g + 1, own, k, F.lit(0)))
-    below = F.transform(upto(n(g - 1)), lambda k: at(g - 1, g, k, own, F.lit(1)))
-    return banded.select("key", "fp", "size", F.explode(F.concat(home, above, below)).alias("at")).select("key", "fp", "size", *[f"at.{c}" for c in PLACE], "at.side")
+            sets.append(found)
+        if sets:
+            held += np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        n = len(keys)
+        yield pa.RecordBatch.from_arrays([batch.column(0), _longs(fp), _longs(keys), pa.array(list(map(len, sets)), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+    if held.any():
+        none = pa.nulls(PIECES, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(held, PIECES)], pa.binary())], names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[piece] = total.get(piece, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
+
+
+def _prefixes(shingle: int, seed: int, similarity: float, sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each set, as many as its size asks for, in one order for all sets: by the
+    sketch's rank, rare ones first, then by hash. A set is sent once by a task. salt: of common ones."""
+    rank, common = sent.value
+    seen: set[int] = set()
+    for batch in batches:
+        out: list[list] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]]
+        for t in batch.column(0):
+            found, key = _set(hashes(t.as_py(), shingle, seed))
+            n = len(found)
+            if not n or key in seen:
+                continue
+            seen.add(key)
+            at = rank[found % np.uint64(SKETCH)]
+            first = np.argsort(at, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+            out[0].append(found[first])
+            out[1].append(np.full(len(first), key, np.uint64))
+            out[2].append((at[first] >= common) * np.int32(1 + key % SALTS))
+        parts = [np.concatenate(x) for x in out]
+        yield pa.RecordBatch.from_arrays([_longs(parts[0]), _longs(parts[1]), pa.array(parts[2].astype(np.int32))], ["shingle", "key", "salt"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shingle and key: those of shingles with two keys or more, and of salted ones."""
+    last, sent = None, True  # the row before, and whether it was sent
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shingle, key, salt = (batch.column(i).to_numpy() for i in range(3))
+        if last is not None:
+            shingle, key, salt = np.r_[last[0], shingle], np.r_[last[1], key], np.r_[last[2], salt]
+        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])]
+        if last is not None:
+            new[0] = not sent
+        same = shingle[1:] == shingle[:-1]
+        two = same & (key[1:] != key[:-1])
+        group = np.r_[0, np.cumsum(~same)]
+        many = np.zeros(group[-1] + 1, bool)
+        many[group[1:][two]] = True
+        if last is not None and sent:
+            many[0] = True
+        go = new & (many[group] | (salt > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[go]), pa.array(key[go])], ["shingle", "key"])
+        # of a group of one key so far, its row waits for the next batch
+        last, sent = (shingle[-1:], key[-1:], salt[-1:]), bool(many[group[-1]] or salt[-1] > 0)
+
+
+def _across(radius: int, similarity: float, refs: np.ndarray, names: list[str], t: pa.Table) -> pa.RecordBatch:
+    """Pairs of a place whose components differ and that are within the radius and the bounds of size."""
+    fp, size, key, root, side = (t[c].to_numpy() for c in ("fp", "size", "key", "root", "side"))
+    fp = fp.view(np.uint64)
+    one = t["i"][0].as_py() == t["j"][0].as_py()
+    table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int16)
+    value, count = np.unique(root, return_counts=True)
+    most = value[np.argmax(count)]
+    a, b = [], []
+    # in a block of its own, rows of the largest component only meet the others
+    for x in (np.flatnonzero(root != most) if one else np.flatnonzero(side == 0)).tolist():
+        y = root != root[x]
+        y &= (root == most) | (np.arange(len(fp)) > x) if one else side == 1
+        y = np.flatnonzero(y)
+        y = y[np.abs(table[y] - table[x]).max(axis=1) <= radius]  # the pivots
+        y = y[np.bitwise_count(fp[y] ^ fp[x]) <= radius]
+        y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x])]
+        a += np.minimum(key[y], key[x]).tolist()
+        b += np.maximum(key[y], key[x]).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _by_place(fn: Callable, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Calls fn with the rows of each place; they come sorted by place, over several batches."""
     held: list[pa.RecordBatch] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        place = np.stack([t[c].to_numpy() for c in PLACE], axis=1)
-        edge = [0, *(np.flatnonzero(np.diff(place, axis=0).any(axis=1)) + 1).tolist(), len(place)]
-        for a, b in zip(edge, edge[1:], strict=False):
-            if b - a > 1:
-                yield fn(t.slice(a, b - a))
-
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        place = np.stack([batch.column(names.index(c)).to_numpy() for c in PLACE], axis=1)
+        place = np.stack([batch.column(names.index(c)).to_numpy() for c in PLACE], axis=1).astype(np.int64)
         edge = [0, *(np.flatnonzero(np.diff(place, axis=0).any(axis=1)) + 1).tolist(), len(place)]
         for a, b in zip(edge, edge[1:], strict=False):
             if held and tuple(place[a]) != last:
-                yield from flush()
+                yield fn(pa.Table.from_batches(held))
                 held = []
             last = tuple(place[a])
             held.append(batch.slice(a, b - a))
     if held:
-        yield from flush()
-
-
-def _near(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Which of the fingerprints y, of sets of n shingles, can be similar to each x, of m."""
-    near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
-    i, j = np.nonzero(near)
-    near[i, j] = np.minimum(m[i], n[j]) >= similarity * np.maximum(m[i], n[j])
-    return near
-
-
-def _candidates(radius: int, similarity: float, t: pa.Table) -> pa.RecordBatch:
-    """The rows of a place that are within the radius of another one."""
-    fp, size, side = t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy(), t["side"].to_numpy()
-    g, h, i, j = (t[c][0].as_py() for c in PLACE)
-    hit = np.zeros(len(fp), bool)
-    left = np.arange(len(fp)) if (g, i) == (h, j) else np.flatnonzero(side == 0)
-    right = left if (g, i) == (h, j) else np.flatnonzero(side == 1)
-    for lo in range(0, len(left), 128):
-        some = left[lo : lo + 128]
-        others = right[lo:] if left is right else right
-        near = _near(fp[some], fp[others], size[some], size[others], radius, similarity)
-        if left is right:
-            np.fill_diagonal(near, False)
-        hit[some] |= near.any(axis=1)
-        hit[others] |= near.any(axis=0)
-    out = t.filter(pa.array(hit)).combine_chunks()
-    return pa.RecordBatch.from_arrays([out[c].combine_chunks() if isinstance(out[c], pa.ChunkedArray) else out[c] for c in ["key", *PLACE, "side"]], ["key", *PLACE, "side"])
-
-
-def _similar(radius: int, similarity: float, t: pa.Table) -> pa.RecordBatch:
-    """A spanning forest of the similar pairs of a place; pairs that it joins already are not compared."""
-    fp, size, key, side = t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy(), t["key"].to_numpy(), t["side"].to_numpy()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]
-    g, h, i, j = (t[c][0].as_py() for c in PLACE)
-    one = (g, i) == (h, j)
-    label, out = np.arange(len(fp)), []
-    for a in range(len(fp)) if one else np.flatnonzero(side == 0).tolist():
-        near = _near(fp[a : a + 1], fp, size[a : a + 1], size, radius, similarity)[0]
-        near &= np.arange(len(fp)) > a if one else side == 1
-        for b in np.flatnonzero(near).tolist():
-            if label[a] != label[b]:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both >= similarity * (size[a] + size[b] - both):
-                    label[label == label[b]] = label[a]
-                    out.append((int(key[a]), int(key[b])))
-    found = np.array(out, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        yield fn(pa.Table.from_batches(held))
 
 
 def near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
     """doc_id, component_id: one row per document. Two documents are linked if their fingerprints
     differ in at most radius bits and their sets of shingles have at least this Jaccard similarity.
 
-    At a wide radius choices of blocks and pivots discard hardly a pair, but similar sets have
-    similar sizes: rows meet all others of their band of sizes, and those that have another one
-    within the radius there meet again with their shingles. Nulls, repeated rows and empty tables
-    are as in near_duplicates."""
+    At a wide radius choices of blocks discard hardly a pair, so sets meet by their prefixes instead:
+    in any fixed order of all shingles, two sets of Jaccard similarity s share one of the first
+    n - ceil(s n) + 1 shingles of each, n being its size. The order puts shingles first that few
+    documents hold, by a sketch of fixed size, so that shared passages seldom bring sets together.
+    Where sets meet, each is first held against the least of them; then, of those that are in
+    different components still, all pairs that pivots, fingerprints and sizes leave. Survivors are
+    verified by their whole sets. So a family of copies costs a row per copy and place, not a pair.
+
+    Documents with one set of shingles are one class, whose fingerprint is the least of theirs.
+    Null and empty texts have no shingles and are linked to each other only; a null doc_id is no
+    candidate for a component_id unless all are null; repeated rows are of one class; very long
+    texts only have longer sets; an empty table gives no rows."""
     rows = columns(docs, "doc_id", "text")
-    prints = cut(map_texts(rows, partial(_signatures, shingle, seed, False), "doc_id long, fp long, key long, size long"))
-    nodes = prints.where("size > 0").select("key", "fp", "size").distinct()
-    names = ["key", "fp", "size", *PLACE, "side"]
-    kinds = ", ".join(f"{c} int" for c in [*PLACE, "side"])
-    met = _placed(nodes, similarity).select(*names).repartition(*PLACE).sortWithinPartitions(*PLACE)
-    near = cut(map_texts(met, partial(_by_place, partial(_candidates, radius, similarity), names), f"key long, {kinds}"))
+    out = written(map_texts(rows, partial(_signatures, shingle, seed), "doc_id long, fp long, key long, size long, piece int, counts binary"))
+    prints = out.where("piece IS NULL").select("doc_id", "fp", "key", "size")
+    held = np.zeros((PIECES, SKETCH // PIECES), np.int64)
+    for r in map_texts(out.where("piece IS NOT NULL").select("piece", "counts").repartition("piece"), _summed, "piece int, counts binary").toLocalIterator():  # PIECES rows
+        held[r["piece"]] = np.frombuffer(r["counts"], np.int64)
+    rank = lambda n: np.floor(4 * np.log2(n + 1.0)).astype(np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast((rank(held.ravel()), rank(4 * held.mean() + 1000)))  # SKETCH bytes
+    first = map_texts(rows.select("text"), partial(_prefixes, shingle, seed, similarity, sent), "shingle long, key long, salt int")
+    kept = map_texts(first.repartition("shingle", "salt").sortWithinPartitions("shingle", "key"), _shared, "shingle long, key long")
+    nodes = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least"))
+    met = written(kept.distinct().join(nodes.drop("least"), "key").select("shingle", "key", "fp", "size"))
+    # the sets of all that meet any other
     key = fresh("id")
-    wanted = prints.join(near.select("key").distinct(), "key", "left_semi").select(F.col("doc_id").alias(key)).distinct()
+    wanted = met.select("key").distinct().join(nodes, "key").select(F.col("least").alias(key))
     again = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-    sets = map_texts(again, partial(_signatures, shingle, seed, True), "doc_id long, fp long, key long, size long, shingles binary").drop("doc_id").dropDuplicates(["key", "fp"])
-    names = [*PLACE, "side", "key", "fp", "size", "shingles"]
-    again = near.distinct().join(sets, "key").select(*names).repartition(*PLACE).sortWithinPartitions(*PLACE)
-    links = cut(map_texts(again, partial(_by_place, partial(_similar, radius, similarity), names), "a long, b long").where("a <> b").distinct())
-    found = components(links)
-    nodes = prints.groupBy("key").agg(F.min("doc_id").alias("least"))
+    sets = written(map_texts(again, partial(_sets, shingle, seed), "key long, shingles array<long>").dropDuplicates(["key"]))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("at.fp"))) <= radius) & (F.least("size", "at.size") >= similarity * F.greatest("size", "at.size"))
+    heads = cut(met.groupBy("shingle").agg(F.min(F.struct("key", "fp", "size")).alias("at")))
+    stars = met.join(heads, "shingle").where((F.col("key") != F.col("at.key")) & near).select(F.col("at.key").alias("a"), F.col("key").alias("b")).distinct()
+    links = cut(linked(cut(stars)))
+    labels = components(links)
+    rooted = met.join(labels.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    open_ = cut(rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "n"))
+    # a place of more than BLOCK rows: every pair of its blocks is a place of its own
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), parts).cast("int")
+    with_all = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).cast("int").alias("side")))
+    names = [*PLACE, "side", "key", "fp", "size", "root"]
+    placed = rooted.join(open_, "shingle").select("shingle", "key", "fp", "size", "root", F.explode(with_all).alias("of")).select("shingle", "of.i", "of.j", "of.side", "key", "fp", "size", "root")
+    ordered = placed.select(*names).repartition(*PLACE).sortWithinPartitions(*PLACE)
+    crossed = map_texts(ordered, partial(_by_place, partial(_across, radius, similarity, pivots(), names), names), "a long, b long").distinct()
+    more = cut(linked(cut(crossed)))
+    found = labels if more.isEmpty() else components(links.union(more))
     rooted = nodes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.select("key", "root").join(heads, "root").select("key", "component_id")
+    # written out, like hooks in components(), so that a large group's join can be split
+    tops = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    known = cut(rooted.select("key", "root").join(tops, "root").select("key", "component_id"))
+    dropped(met, sets)
     return prints.join(known, "key").select("doc_id", "component_id")
 
 
+def _sets(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_set(hashes(t.as_py(), shingle, seed)) for t in batch.column(1)]
+        flat = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.uint64)
+        edge = np.cumsum([0, *(len(f) for f, _ in found)])
+        yield pa.RecordBatch.from_arrays([_longs([k for _, k in found]), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), _longs(flat))], ["key", "shingles"])
+
+
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """The documents, whole rows, of which each is the least doc_id of its group: that of
     near_duplicates, or with a similarity that of near_copies. A doc_id that stands in several rows

@@ -144,7 +144,7 @@ def jaccard(a, b):
 @pytest.mark.parametrize("block", [8192, 3])
 def test_simhash_similar(spark, monkeypatch, block):
     """Near copies that differ in more than four bits go; the groups are those of all pairs."""
-    monkeypatch.setattr(simhash, "SIMILAR_BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(5)
     texts = []
     for n in [30, 60, 60, 90, 150, 400]:
