@@ -37,57 +37,73 @@ from pyspark.sql import functions as F
 from .common import columns, fold, fresh, give_back, map_texts
 
 DECAY, LANDMARKS, SAMPLE, LONGEST = 0.8, 160, 1500, 24
-#: Letters: a-z, digits, and the others by their code points modulo.
-ALPHABET = 64
+#: Marks of a word's ends.
+OPEN, CLOSE = "\x02", "\x03"
 #: Distinct words whose margin a worker keeps; more are computed anew.
 KEPT = 100_000
+#: Texts whose words are looked up together.
+TOGETHER = 64
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”‘’«»¡¿"
 _SPELLED = re.compile(r"(?<![^\x20\x09-\x0D])[^\W\d_](?:[\x20.\-_*]+[^\W\d_]){2,}(?![^\x20\x09-\x0D.,!?;:])")
 
 
 def instances(text: str) -> set[str]:
-    """The distinct words of a text, lower case and without outer punctuation; a word
-    with marks inside is also read without them, and a run of single letters as one word. A word over ``LONGEST`` letters is read in stretches of
-    that length, which overlap by half."""
+    """The distinct words of a text, lower case and without outer punctuation; a word with marks
+    inside is also read without them, and a run of single letters as one word. Each has marks at
+    its ends, which count as letters, so that the shortest words have subsequences too. Of a word
+    over ``LONGEST`` letters, all stretches of that length are read: what spans more letters than
+    that has next to no weight in the kernel."""
     low = text.lower()
     words = {w.strip(_EDGE) for w in set(low.split())}
     for run in _SPELLED.findall(low):
         words.add("".join(c for c in run if c.isalpha()))
     words |= {"".join(c for c in w if c.isalnum()) for w in words if not w.isalnum()}
+    words.discard("")
     out = set()
     for w in words:
         if len(w) > LONGEST:
-            out.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
-        elif len(w) > 2:
-            out.add(w)
+            marked = OPEN + w + CLOSE
+            out.update(marked[i : i + LONGEST] for i in range(len(marked) - LONGEST + 1))
+        else:
+            out.add(OPEN + w + CLOSE)
     return out
 
 
-def _code(c: str) -> int:
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    return 27 + ord(c) - 48 if "0" <= c <= "9" else 37 + ord(c) % 27
+@lru_cache(maxsize=64)
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of three letters in a word of n, and their weights."""
+    at = np.array(list(combinations(range(n), 3)), np.int64)
+    return at, (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
 
 
-class _Codes(dict):
-    def __missing__(self, c: str) -> int:
-        self[c] = k = _code(c)
-        return k
+@lru_cache(maxsize=64)
+def _reach(n: int) -> np.ndarray:
+    """The decay from each place to the one before each later place."""
+    gap = np.arange(n)[None, :] - np.arange(n)[:, None] - 1
+    return np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0).astype(np.float32)
 
 
-_codes = _Codes()
+def _norms(letters: np.ndarray) -> np.ndarray:
+    """Square roots of the words' kernels with themselves, by the kernel's recursion over the places
+    where a word's letters meet its own."""
+    count, n = letters.shape
+    reach = _reach(n)
+    same = (letters[:, :, None] == letters[:, None, :]).astype(np.float32) * np.float32(DECAY**2)
+    ends = same
+    for _ in range(2):  # subsequences of two letters, then of three, by where they end
+        half = (ends.reshape(-1, n) @ reach).reshape(count, n, n).transpose(0, 2, 1)
+        ends = same * (half.reshape(-1, n) @ reach).reshape(count, n, n).transpose(0, 2, 1)
+    return np.sqrt(ends.sum(axis=(1, 2)))
 
 
-@lru_cache(maxsize=64)
-def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all subsequences of three letters in a word of n, and their weights."""
-    at = np.array(list(combinations(range(n), 3)), np.int64)
-    return at, (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
+def _codes(letters: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points have 21 bits: three are one number, and no two letters are one."""
+    return (letters[:, at[:, 0]] << 42) | (letters[:, at[:, 1]] << 21) | letters[:, at[:, 2]]
 
 
-def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By length, in bounded blocks: positions in words, codes of their three-letter
-    subsequences (a row per word), the weights of these, and the words' own norms."""
+def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length, in bounded blocks: positions in words, the words' letters (code points, a row per
+    word), the places of subsequences in them, their weights, and the words' norms."""
     by_size: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by_size.setdefault(len(w), []).append(k)
@@ -95,19 +111,11 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         if n < 3:
             continue
         at, weight = _triples(n)
-        step = max(1, 1_000_000 // len(at))
+        step = max(1, 500_000 // len(at))
         for lo in range(0, len(every), step):
             some = every[lo : lo + step]
-            letters = np.fromiter((_codes[c] for k in some for c in words[k]), np.int64, n * len(some)).reshape(-1, n)
-            codes = (letters[:, at[:, 0]] * ALPHABET + letters[:, at[:, 1]]) * ALPHABET + letters[:, at[:, 2]]
-            order = np.argsort(codes, axis=1)
-            ranked, heavy = np.take_along_axis(codes, order, 1), weight[order]
-            new = np.ones(ranked.shape, bool)
-            new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-            start = np.flatnonzero(new.ravel())
-            sums = np.add.reduceat(heavy.ravel(), start)  # one entry for each distinct subsequence
-            norm = np.sqrt(np.add.reduceat(sums * sums, np.searchsorted(start, np.arange(len(some)) * len(at))))
-            yield np.array(some), codes, weight, norm
+            letters = np.frombuffer("".join([words[k] for k in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.int64)
+            yield np.array(some), letters, at, weight, _norms(letters)
 
 
 class Kernel:
@@ -116,7 +124,8 @@ class Kernel:
     def __init__(self, others: list[str]):
         self.others = others
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for place, codes, weight, norm in subsequences(others):
+        for place, letters, at, weight, norm in subsequences(others):
+            codes = _codes(letters, at)
             for k, p in enumerate(place):
                 value, where = np.unique(codes[k], return_inverse=True)
                 rows.append((value, np.bincount(where, weight) / norm[k], np.full(len(value), p)))
@@ -129,7 +138,8 @@ class Kernel:
         out = np.zeros((len(words), len(self.others)), np.float32)
         if not len(self.codes):
             return out
-        for place, codes, weight, norm in subsequences(words):
+        for place, letters, at, weight, norm in subsequences(words):
+            codes = _codes(letters, at)
             k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
             word, triple = np.nonzero(self.codes[k] == codes)
             for lo in range(0, len(word), 25_000):  # bounded blocks of matches
@@ -139,25 +149,47 @@ class Kernel:
             out[place] /= norm[:, None]
         return out
 
-    def folded(self, alpha: np.ndarray) -> np.ndarray:
+    def folded(self, alpha: np.ndarray) -> "Weights":
         """One weight for each three letters: the sum of the fixed words' entries, weighted."""
-        out = np.zeros(ALPHABET**3, np.float32)
-        out[self.codes] = self.table[: len(self.codes)] @ alpha
-        return out
+        return Weights(self.codes, self.table[: len(self.codes)] @ alpha)
+
+
+class Weights:
+    """Weights of three letters (codes in order), by tables: letters that stand in them have numbers,
+    all others have 0; so have pairs of letters; and a pair and a letter have a place."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        three = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF]) if len(codes) else np.zeros((3, 0), np.int64)
+        self.letters = np.unique(three)
+        number = np.searchsorted(self.letters, three) + 1
+        self.width = len(self.letters) + 1
+        self.pairs = np.zeros(self.width * self.width, np.int32)
+        known = np.unique(number[0] * self.width + number[1])
+        self.pairs[known] = np.arange(1, len(known) + 1)
+        self.values = np.zeros((len(known) + 1) * self.width, np.float32)
+        self.values[self.pairs[number[0] * self.width + number[1]] * self.width + number[2]] = values
+
+    def of(self, letters: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not len(self.letters):
+            return np.zeros((len(letters), len(at)), np.float32)
+        k = np.minimum(np.searchsorted(self.letters, letters), len(self.letters) - 1)
+        number = np.where(self.letters[k] == letters, k + 1, 0)
+        pair = self.pairs[number[:, at[:, 0]] * self.width + number[:, at[:, 1]]]
+        return self.values[pair * self.width + number[:, at[:, 2]]]
 
 
 class Model:
     """weights: for each three letters; bias: of a word's margin; slope and shift: of the
-    logistic curve over a document's margin; floor: the margin of a text without words."""
+    logistic curve over a document's margin. A text without words has the bias for its margin."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
+    def __init__(self, weights: Weights, bias: float, slope: float, shift: float):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
         self.known: dict[str, float] = {}
 
     @property
     def learned(self) -> bool:
         """False if fit() found nothing to tell the classes by: all texts then have one score."""
-        return bool(self.weights.any())
+        return bool(self.weights.values.any())
 
     def __getstate__(self):
         return (self.weights, self.bias, self.slope, self.shift)
@@ -167,22 +199,26 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias, np.float32)
-        for place, codes, weight, norm in subsequences(words):
-            out[place] += (self.weights[codes] @ weight) / norm
+        for place, letters, at, weight, norm in subsequences(words):
+            out[place] += (self.weights.of(letters, at) @ weight) / norm
         return out
 
-    def margin(self, words: set[str]) -> float:
+    def margin(self, sets: list[set[str]]) -> np.ndarray:
+        """The greatest margin of the words of each set."""
         known = self.known
-        if new := [w for w in words if w not in known]:
-            if len(known) > KEPT:
-                known.clear()
-                new = list(words)
-            known.update(zip(new, self.margins(new).tolist(), strict=True))
-        return max(map(known.__getitem__, words), default=self.bias)
-
-    def score(self, text: str | None) -> float:
-        x = self.slope * self.margin(instances(text) if text else set()) + self.shift
-        return float(1 / (1 + np.exp(-np.clip(x, -50, 50))))
+        new = [w for w in set().union(*sets) if w not in known]
+        if len(known) + len(new) > KEPT:
+            known.clear()
+            new = list(set().union(*sets))
+        known.update(zip(new, self.margins(new).tolist(), strict=True))
+        return np.array([max(map(known.__getitem__, words), default=self.bias) for words in sets])
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        out = np.empty(len(texts))
+        for lo in range(0, len(texts), TOGETHER):
+            margin = self.margin([instances(t) if t else set() for t in texts[lo : lo + TOGETHER]])
+            out[lo : lo + TOGETHER] = 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
+        return out
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
@@ -280,7 +316,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
     seeds = _telling(bad, good, n_bad, n_good)
     if not seeds or not n_good:
-        return Model(np.zeros(ALPHABET**3, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(Weights(np.zeros(0, np.int64), np.zeros(0, np.float32)), 0.0, 0.0, float(np.log(share / (1 - share))))
     clean = sorted(good, key=lambda w: (zlib.crc32(w.encode()), w))
     rough = Kernel(seeds[: 2 * landmarks])
     first = Model(rough.folded(np.full(len(rough.others), 1 / len(rough.others), np.float32)), 0.0, 1.0, 0.0)
@@ -325,7 +361,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         negative += extra
         against = np.vstack([against, kernel.of(extra) @ whiten]) if extra else against
         positive = sorted(found)
-    margin = np.array([model.margin(s) for s in sets])
+    margin = np.concatenate([model.margin(sets[lo : lo + TOGETHER]) for lo in range(0, len(sets), TOGETHER)])
     slope, shift = _curve(margin, y)
     give_back()
     return Model(model.weights, model.bias, slope, shift)
@@ -355,12 +391,12 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int
     repeated ones count once, toxic if any is; without labels every score is a half. Rows with
     one doc_id and one text get one score."""
     model = fit(*sample_labelled(docs, labels, "toxic", sample, modulus, held))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # ALPHABET ** 3 weights, whatever the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks' letters, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            p = np.array([model.score(t.as_py()) for t in batch.column(1)], np.float64)
+            p = model.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     scored = map_texts(columns(docs, "doc_id", "text"), run, "doc_id long, score double, predicted int")
@@ -378,6 +414,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         model = sent.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([model.score(t.as_py()) < 0.5 for t in texts], pa.bool_()))
+            yield batch.filter(pa.array(model.score(texts.to_pylist()) < 0.5))
 
     return map_texts(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

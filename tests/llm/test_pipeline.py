@@ -5,24 +5,39 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from lodestream.llm import toxicity
+from lodestream.llm import simhash, toxicity
 from lodestream.llm.common import written
 
-from .test_dedup import brute_fingerprint, brute_groups, brute_removed, normal
+from .test_dedup import LOWER, brute_removed, jaccard, normal
+from .conftest import words
 from .test_texts import check_packing
 
 
+def brute_representatives(texts):
+    """The least key of each group of texts that are linked by fingerprint and five-word similarity."""
+    keys = sorted(texts)
+    low = {k: words((texts[k] or "").translate(LOWER)) for k in keys}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for k, w in low.items()}
+    prints = {k: simhash.fingerprint(texts[k], 5) for k in keys}
+    label = {k: k for k in keys}
+    links = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if sets[a] == sets[b] or ((prints[a] ^ prints[b]).bit_count() <= 14 and jaccard(sets[a], sets[b]) >= 0.8)]
+    for _ in keys:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return set(label.values())
+
+
 def brute(texts, toxic):
     """The texts that reach the last stage, in plain Python. toxic: labels by doc_id."""
     train = [(k, texts[k] or "") for k in sorted(texts) if k in toxic and zlib.crc32(str(k).encode()) % 5]
     model = toxicity.fit([t for _, t in train], [toxic[k] for k, _ in train])
-    kept = {k: t for k, t in texts.items() if model.score(t) < 0.5}
+    kept = {k: t for k, t in texts.items() if model.score([t])[0] < 0.5}
     first = {}
     for k in sorted(kept):
         first.setdefault(normal(kept[k]), k)
     kept = {k: kept[k] for k in first.values()}
-    group = brute_groups({k: brute_fingerprint(t) for k, t in kept.items()})
-    kept = {k: kept[k] for k in kept if group[k] == k}
+    stay = brute_representatives(kept)
+    kept = {k: kept[k] for k in kept if k in stay}
     keys = sorted(kept)
     for k, (w, gone) in zip(keys, brute_removed([kept[k] for k in keys], 35), strict=True):
         if any(gone):
