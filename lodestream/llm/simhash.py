@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
@@ -33,7 +34,10 @@ from .components import components
 BITS, PIVOTS, BLOCK = 64, 16, 2048
 #: Counters of near_copies' sketch, the rows that carry them, and salts of common shingles.
 SKETCH, PIECES, SALTS = 1 << 19, 64, 16
-PLACE = ["shingle", "i", "j"]
+#: Bits of the marks of ids.
+MARK_BITS = 23
+MARKS = 1 << MARK_BITS
+PLACE = ["place", "i", "j"]
 
 
 def hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -275,26 +279,60 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sent = (shingle[-1:], key[-1:], salt[-1:]), bool(many[group[-1]] or salt[-1] > 0)
 
 
-def _across(radius: int, similarity: float, refs: np.ndarray, names: list[str], t: pa.Table) -> pa.RecordBatch:
-    """Pairs of a place whose components differ and that are within the radius and the bounds of size."""
-    fp, size, key, root, side = (t[c].to_numpy() for c in ("fp", "size", "key", "root", "side"))
+def _pairs(t: pa.Table, radius: int, similarity: float, refs: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a place with those rows of other labels that are within the radius and the bounds of
+    size. The caller may join labels on the way; rows of the largest component only meet the others."""
+    fp, size, root, side = (t[c].to_numpy() for c in ("fp", "size", "root", "side"))
     fp = fp.view(np.uint64)
     one = t["i"][0].as_py() == t["j"][0].as_py()
     table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int16)
     value, count = np.unique(root, return_counts=True)
     most = value[np.argmax(count)]
-    a, b = [], []
-    # in a block of its own, rows of the largest component only meet the others
     for x in (np.flatnonzero(root != most) if one else np.flatnonzero(side == 0)).tolist():
-        y = root != root[x]
+        y = (label != label[x]) & (root != root[x])
         y &= (root == most) | (np.arange(len(fp)) > x) if one else side == 1
         y = np.flatnonzero(y)
         y = y[np.abs(table[y] - table[x]).max(axis=1) <= radius]  # the pivots
         y = y[np.bitwise_count(fp[y] ^ fp[x]) <= radius]
         y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x])]
-        a += np.minimum(key[y], key[x]).tolist()
-        b += np.maximum(key[y], key[x]).tolist()
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if len(y):
+            yield x, y
+
+
+def _joined(t: pa.Table, radius: int, similarity: float, refs: np.ndarray, sets: list[np.ndarray] | None) -> pa.RecordBatch:
+    """A spanning forest of a place's pairs of different components: of all that might be links, or with
+    the sets of those that are."""
+    key, out = t["key"].to_numpy(), []
+    # what might be linked connects rows, what is linked connects their components
+    label = np.arange(len(key)) if sets is None else np.unique(t["root"].to_numpy(), return_inverse=True)[1]
+    for x, near in _pairs(t, radius, similarity, refs, label):
+        for y in near.tolist():
+            if label[x] != label[y]:
+                if sets is not None:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both < similarity * (len(sets[x]) + len(sets[y]) - both):
+                        continue
+                label[label == label[y]] = label[x]
+                out.append((int(key[x]), int(key[y])))
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+def _across(radius: int, similarity: float, refs: np.ndarray, t: pa.Table) -> pa.RecordBatch:
+    return _joined(t, radius, similarity, refs, None)
+
+
+def _within(radius: int, similarity: float, refs: np.ndarray, t: pa.Table) -> pa.RecordBatch:
+    return _joined(t, radius, similarity, refs, [np.asarray(x.values).view(np.uint64) for x in t["shingles"]])
+
+
+def _placed(rows: DataFrame, counts: DataFrame, place: str) -> DataFrame:
+    """Rows at their places; of a place of more than BLOCK rows (n), every pair of blocks is one of its own."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), parts).cast("int")
+    with_all = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).cast("int").alias("side")))
+    met = rows.join(counts, place).select(F.col(place).alias("place"), "key", "fp", "size", "root", F.explode(with_all).alias("of"))
+    return met.select("place", "of.i", "of.j", "of.side", "key", "fp", "size", "root")
 
 
 def _by_place(fn: Callable, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,9 +362,11 @@ def near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, s
     in any fixed order of all shingles, two sets of Jaccard similarity s share one of the first
     n - ceil(s n) + 1 shingles of each, n being its size. The order puts shingles first that few
     documents hold, by a sketch of fixed size, so that shared passages seldom bring sets together.
-    Where sets meet, each is first held against the least of them; then, of those that are in
-    different components still, all pairs that pivots, fingerprints and sizes leave. Survivors are
-    verified by their whole sets. So a family of copies costs a row per copy and place, not a pair.
+    Where sets meet, they are first held against one of them, whose prefix meets most others (as that
+    of a text does that the others were copied from). Then, of those that are in different components
+    still, pivots, fingerprints and sizes tell which might be linked; what these pairs connect is a family, which meets once, in blocks,
+    and its sets are compared until it is connected or no pair is left. All links are verified by
+    whole sets.
 
     Documents with one set of shingles are one class, whose fingerprint is the least of theirs.
     Null and empty texts have no shingles and are linked to each other only; a null doc_id is no
@@ -344,45 +384,77 @@ def near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, s
     kept = map_texts(first.repartition("shingle", "salt").sortWithinPartitions("shingle", "key"), _shared, "shingle long, key long")
     nodes = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least"))
     met = written(kept.distinct().join(nodes.drop("least"), "key").select("shingle", "key", "fp", "size"))
-    # the sets of all that meet any other
-    key = fresh("id")
-    wanted = met.select("key").distinct().join(nodes, "key").select(F.col("least").alias(key))
-    again = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-    sets = written(map_texts(again, partial(_sets, shingle, seed), "key long, shingles array<long>").dropDuplicates(["key"]))
+    # a text that others were copied from has few shingles of its own, so its prefix meets most others
+    holders = cut(met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")))
+    scores = cut(met.join(holders, "shingle").groupBy("key").agg(F.sum("n").alias("score")))
+    met_by = written(met.join(scores, "key"))
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        ids = _marks(keys.join(nodes, "key").select("least"))
+        found = map_texts(rows, partial(_sets, shingle, seed, ids), "key long, shingles array<long>")
+        return written(found.join(keys, "key", "left_semi").dropDuplicates(["key"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        sets = sets_of(cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+        out = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+        dropped(sets)
+        return out
 
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("at.fp"))) <= radius) & (F.least("size", "at.size") >= similarity * F.greatest("size", "at.size"))
-    heads = cut(met.groupBy("shingle").agg(F.min(F.struct("key", "fp", "size")).alias("at")))
-    stars = met.join(heads, "shingle").where((F.col("key") != F.col("at.key")) & near).select(F.col("at.key").alias("a"), F.col("key").alias("b")).distinct()
-    links = cut(linked(cut(stars)))
+    heads = cut(met_by.groupBy("shingle").agg(F.max(F.struct("score", "key", "fp", "size")).alias("at")))
+    stars = met_by.join(heads, "shingle").where((F.col("key") != F.col("at.key")) & near)
+    links = linked(stars.select(F.least("at.key", "key").alias("a"), F.greatest("at.key", "key").alias("b")).distinct())
     labels = components(links)
-    rooted = met.join(labels.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = met_by.join(labels.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = cut(rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "n"))
-    # a place of more than BLOCK rows: every pair of its blocks is a place of its own
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("key"), parts).cast("int")
-    with_all = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).cast("int").alias("side")))
     names = [*PLACE, "side", "key", "fp", "size", "root"]
-    placed = rooted.join(open_, "shingle").select("shingle", "key", "fp", "size", "root", F.explode(with_all).alias("of")).select("shingle", "of.i", "of.j", "of.side", "key", "fp", "size", "root")
-    ordered = placed.select(*names).repartition(*PLACE).sortWithinPartitions(*PLACE)
-    crossed = map_texts(ordered, partial(_by_place, partial(_across, radius, similarity, pivots(), names), names), "a long, b long").distinct()
-    more = cut(linked(cut(crossed)))
+    ordered = _placed(rooted, open_, "shingle").select(*names).repartition(*PLACE).sortWithinPartitions(*PLACE)
+    maybe = cut(map_texts(ordered, partial(_by_place, partial(_across, radius, similarity, pivots()), names), "a long, b long").distinct())
+    # what might be linked, over whatever chain of others, is one place now, and its sets decide
+    family = cut(components(maybe).toDF("key", "family").join(rooted.select("key", "fp", "size", "root").distinct(), "key"))
+    of = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    sets = sets_of(cut(family.select("key")))
+    met_again = _placed(family, of, "family").join(sets, "key").select(*names, "shingles").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    more = cut(map_texts(met_again, partial(_by_place, partial(_within, radius, similarity, pivots()), [*names, "shingles"]), "a long, b long").distinct())
+    dropped(sets)
     found = labels if more.isEmpty() else components(links.union(more))
     rooted = nodes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     # written out, like hooks in components(), so that a large group's join can be split
     tops = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     known = cut(rooted.select("key", "root").join(tops, "root").select("key", "component_id"))
-    dropped(met, sets)
+    dropped(met, met_by)
     return prints.join(known, "key").select("doc_id", "component_id")
 
 
-def _sets(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(ids: DataFrame):
+    """A broadcast of MARKS bits, of which those are set that hashes of the ids give. It only saves
+    work: what passes by chance goes at the join that follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS, bool)
+        for batch in batches:
+            bits[_mark(batch.column(0).drop_null().to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+
+    total = np.zeros(MARKS // 8, np.uint8)
+    for r in ids.repartition(PIECES).mapInArrow(run, "bits binary").toLocalIterator():  # PIECES rows
+        total |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(total.tobytes())
+
+
+def _mark(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _sets(shingle: int, seed: int, sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
     for batch in batches:
-        found = [_set(hashes(t.as_py(), shingle, seed)) for t in batch.column(1)]
+        ids = batch.column(0)
+        go = bits[_mark(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False)
+        found = [_set(hashes(t.as_py(), shingle, seed)) for t in batch.column(1).filter(pa.array(go))]
         flat = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.uint64)
         edge = np.cumsum([0, *(len(f) for f, _ in found)])
         yield pa.RecordBatch.from_arrays([_longs([k for _, k in found]), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), _longs(flat))], ["key", "shingles"])

@@ -154,6 +154,12 @@ def test_simhash_similar(spark, monkeypatch, block):
             for _ in range(rng.randrange(1 + n // 40)):
                 w[rng.randrange(n)] = "edit" + str(rng.randrange(999))
             texts.append(" ".join(w))
+    base = [f"f{i}" for i in range(70)]  # a family of which few are similar to any one
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(70)] = f"edit{rng.randrange(999)}"
+        texts.append(" ".join(w))
     texts += ["a b", "A  b", "", None, "c"]
     low = [words((t or "").translate(LOWER)) for t in texts]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in low]
