@@ -43,36 +43,50 @@ def inferred_edges(spans: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("service_name").alias("client"), F.col("infer_service_name").alias("server")).agg(*_stats())
 
 
-#: For each kind of dependency, the attributes that name it and its system.
+#: For each kind of dependency, the attributes that name its system and itself.
 DEPENDENCIES = [
-    ("database", ["db_name", "db_namespace"], ["db_system", "db_system_name"]),
-    ("messaging", ["messaging_destination_name", "messaging_destination"], ["messaging_system"]),
-    ("rpc", ["rpc_service"], ["rpc_system"]),
-    ("http", ["http_host", "server_address", "net_peer_name"], ["url_scheme"]),
+    ("database", ["db.system.name", "db.system"], ["db.namespace", "db.name"]),
+    ("queue", ["messaging.system"], ["messaging.destination.name", "messaging.destination"]),
+    ("rpc", ["rpc.system"], ["rpc.service"]),
 ]
+#: Attributes that hold a host, a URL, or show a request over HTTP.
+HOSTS, URLS = ["server.address", "net.peer.name", "http.host"], ["url.full", "http.url"]
+HTTP = ["http.request.method", "http.method", *URLS]
+#: Kinds of spans that wait for what they call.
+CALLS = ["3", "4", "SPAN_KIND_CLIENT", "SPAN_KIND_PRODUCER"]
+_BYTE = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_ADDRESS = rf"^({_BYTE}(\.{_BYTE}){{3}}|[0-9A-Fa-f]*:[0-9A-Fa-f]*:[0-9A-Fa-f:.]*)$"
 
 
 def infer_services(spans: DataFrame) -> DataFrame:
-    """Adds infer_service_name, _type and _system for client (3) and producer (4) spans: named by
-    peer_service, else by the kind's own attribute, else by the host, else by the system."""
+    """Adds infer_service_name, _type and _system for client and producer spans. A name is
+    peer.service, else what the kind of dependency calls itself, else a host, else the system.
+    Attributes are columns by their names with dots or underscores; blank ones count as absent;
+    hosts lose their ports, and addresses don't name a service."""
+
+    def attribute(name: str):
+        have = [F.col(f"`{n}`").cast("string") for n in dict.fromkeys([name, name.replace(".", "_")]) if n in spans.columns]
+        return F.nullif(F.regexp_replace(F.coalesce(*have, F.lit(None).cast("string")), r"^\s+|\s+$", ""), F.lit(""))
 
     def first(names: list[str]):
-        have = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in spans.columns]
-        return F.coalesce(*have, F.lit(None).cast("string"))
-
-    calls = F.col("span_kind").isin("3", "4")
-    kind, name, system = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for label, own, of in reversed(DEPENDENCIES):
-        there = first(of).isNotNull() | first(own).isNotNull()
-        kind, system = F.when(there, label).otherwise(kind), F.when(there, first(of)).otherwise(system)
-        name = F.coalesce(first(own), name)
-    host = first(["server_address", "net_peer_name", "http_host"])
-    found = F.coalesce(first(["peer_service"]), name, host, system)
-    return spans.withColumns({
-        "infer_service_name": F.when(calls, found),
-        "infer_service_type": F.when(calls & found.isNotNull(), F.coalesce(kind, F.lit("service"))),
-        "infer_service_system": F.when(calls & found.isNotNull(), system),
-    })
+        return F.coalesce(*map(attribute, names))
+
+    def host(name: str):
+        bare = F.regexp_replace(F.regexp_replace(attribute(name), r"^\[([^\]]*)\].*$", "$1"), r"^([^:]*):[0-9]+$", "$1")
+        return F.when(~bare.rlike(_ADDRESS) & (bare != ""), bare)
+
+    url = F.lower(F.try_parse_url(first(URLS), F.lit("HOST")))
+    peer = F.coalesce(*map(host, HOSTS), F.when(~url.rlike(_ADDRESS) & ~url.startswith("["), url))
+    calls, declared = F.col("span_kind").cast("string").isin(CALLS), attribute("peer.service")
+    kind, name = F.lit("external"), F.coalesce(declared, peer)
+    system = F.when(first(HTTP).isNotNull(), "http")
+    for label, systems, own in reversed(DEPENDENCIES):
+        there = first(systems).isNotNull() | first(own).isNotNull()
+        kind = F.when(there, label).otherwise(kind)
+        name = F.when(there, F.coalesce(declared, first(own), peer, first(systems))).otherwise(name)
+        system = F.when(there, first(systems)).otherwise(system)
+    found = calls & name.isNotNull()
+    return spans.withColumns({"infer_service_name": F.when(found, name), "infer_service_type": F.when(found, kind), "infer_service_system": F.when(found, system)})
 
 
 def trace_nodes(spans: DataFrame, trace_id: str, most: int = 10_000) -> DataFrame:

@@ -8,7 +8,8 @@ order and limit.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,7 @@ LADDER = [(900, 10), (1800, 15), (3600, 30), (21_600, 60), (86_400, 1800), (604_
 _TEXT_SEARCH = {"match_all", "fuzzy_match_all", "match_all_hash"}
 _CLAUSES = {"WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "UNION", "INTERSECT", "EXCEPT", "QUALIFY", "WINDOW"}
 _AFTER_TABLE = _CLAUSES | KEYWORDS | {"LEFT", "RIGHT", "FULL", "INNER", "CROSS", "OUTER", "SEMI", "ANTI", "NATURAL", "LATERAL", "TABLESAMPLE"}
+_EXPLAIN = re.compile(r"\s*EXPLAIN\s+(?P<analyze>ANALYZE\s+)?", re.I)
 
 
 @dataclass
@@ -425,7 +427,7 @@ class Planner:
         return next((wide for most, wide in LADDER if seconds <= most), 86_400) * 1_000_000
 
     def plan(self, request: Request) -> Plan:
-        parts = [t for t in tokens(request.sql) if t.text != ";"]
+        parts = [t for t in tokens(_EXPLAIN.sub("", request.sql, count=1)) if t.text != ";"]
         parts = custom_values(remove_placeholders(parts, self.placeholder))
         for t in parts:
             if t.kind == "name" and t.value.lower() in ("match_all_raw", "match_all_raw_ignore_case"):
@@ -444,6 +446,8 @@ class Planner:
         where = self.where_text(parts) if not hard else None
         has_limit, has_order = _find(parts, "LIMIT") >= 0, _find(parts, "ORDER") >= 0
         own_limit = int(parts[_find(parts, "LIMIT") + 1].text) if has_limit and parts[_find(parts, "LIMIT") + 1].kind == "number" else None
+        if own_limit is not None and own_limit > MAX_LIMIT:
+            parts[_find(parts, "LIMIT") + 1] = Token("number", str(MAX_LIMIT))
         if not hard and not request.track_total_hits:
             parts = self._add_columns(parts, streams, request.quick_mode)
             tables = self._tables(parts, request.stream_type)
@@ -536,7 +540,14 @@ class Planner:
 
 
 def search(spark: SparkSession, planner: Planner, request: Request) -> DataFrame:
-    """The rows of a request. A default limit's probe rows are left in; see Plan.shown."""
+    """The rows of a request. A default limit's probe rows are left in; see Plan.shown. EXPLAIN gives
+    one row with the plan; EXPLAIN ANALYZE runs the query first, so that it is the final plan."""
+    if asked := _EXPLAIN.match(request.sql):
+        df = search(spark, planner, replace(request, sql=request.sql[asked.end() :]))
+        if asked["analyze"]:
+            df._jdf.queryExecution().toRdd().count()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        return spark.createDataFrame([(df._jdf.queryExecution().explainString(mode),)], "plan string")
     plan = planner.plan(request)
     df = spark.sql(plan.sql)
     if request.sampling_ratio is not None:

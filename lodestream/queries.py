@@ -125,6 +125,10 @@ does(
 )
 does("scan_enrichment_join", lambda c: R.lookup_join(c.df("customer"), c.df("nation", "enrichment_tables"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"), "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 does("scan_sample_system", lambda c: R.sample_system(c.df("lineitem"), 0.5).select("l_orderkey", "l_linenumber"))
+does("scan_sample_system_share", lambda c: R.sample_system(c.df("lineitem"), 0.5).agg(F.count(F.lit(1)).alias("n")).crossJoin(c.df("lineitem").agg(F.count(F.lit(1)).alias("m"))).select((F.abs(F.col("n") / F.col("m") - 0.5) < 0.1).alias("near")), "SELECT true AS near")
+ask("explain_search", "EXPLAIN SELECT event_id FROM {E} WHERE value > 20", "SELECT true AS pushed")
+_explain = QUERIES["explain_search"]
+QUERIES["explain_search"] = lambda spark, sf_dir: _explain(spark, sf_dir).select(F.col("plan").contains("GreaterThan(value,20.0)").alias("pushed"))
 does("scan_sample_stratified", lambda c: R.sample_stratified(c.df("events"), 0.5, 10, START - 9 * DAY, START + 21 * DAY).select("event_id"))
 does("compact_sorted", lambda c: c.df("events").orderBy(F.col("_timestamp").desc()).select("_timestamp", "event_id"), "SELECT _timestamp, event_id FROM {E} ORDER BY _timestamp DESC")
 does("distinct_values", lambda c: R.distinct_values(c.df("events"), ["event_type"]), "SELECT event_type, min(_timestamp) AS _timestamp, count(*) AS count FROM {E} GROUP BY event_type")
@@ -185,6 +189,8 @@ ask("agg_array_agg", "SELECT n_regionkey, array_join(array_agg(n_name ORDER BY n
 ask("agg_weighted_percentile", "SELECT l_returnflag, approx_percentile_cont_with_weight(l_linenumber, CAST(l_quantity AS INT), 0.5) AS p FROM lineitem GROUP BY l_returnflag", "WITH x AS (SELECT l_returnflag, l_linenumber, unnest(range(CAST(l_quantity AS INT))) FROM lineitem) SELECT l_returnflag, quantile_cont(l_linenumber, 0.5) AS p FROM x GROUP BY l_returnflag")
 ask("agg_approx_distinct", "SELECT approx_distinct(user_id) AS users FROM {E}")
 ORACLES.pop("agg_approx_distinct")
+ask("agg_approx_distinct_error", "SELECT abs(approx_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS near FROM {E}", "SELECT true AS near")
+ask("agg_approx_percentile_error", "SELECT event_type, approx_percentile_cont(value, 0.9) BETWEEN percentile_cont(0.88) WITHIN GROUP (ORDER BY value) AND percentile_cont(0.92) WITHIN GROUP (ORDER BY value) AS near FROM {E} GROUP BY event_type", "SELECT event_type, true AS near FROM {E} GROUP BY event_type")
 ask("agg_approx_percentile", "SELECT event_type, approx_percentile_cont(value, 0.9) AS p90, approx_median(value) AS m FROM {E} GROUP BY event_type")
 ORACLES.pop("agg_approx_percentile")
 ask("agg_approx_topk", "SELECT approx_topk(event_type, 3) AS top FROM {E}")
@@ -322,7 +328,41 @@ def _otlp(c: Catalog) -> DataFrame:
 
 
 does("ingest_otlp_traces", _otlp, "SELECT _timestamp, CAST(event_id % 10 AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id, '' AS reference_parent_span_id, event_type AS service_name, 'op' AS operation_name, '2' AS span_kind, 'UNSET' AS span_status, _timestamp AS start_time, _timestamp AS end_time FROM {E}")
-does("infer_services", lambda c: TR.infer_services(c.df("spans", "traces").drop("infer_service_name").withColumn("peer_service", F.when(F.col("span_id").cast("long") % 8 == 3, "peer")).withColumn("db_system", F.lit("pg"))).select("span_id", "infer_service_name", "infer_service_type", "infer_service_system"), "WITH s AS {SPANS} SELECT span_id, CASE WHEN span_kind = '3' THEN CASE WHEN CAST(span_id AS BIGINT) % 8 = 3 THEN 'peer' ELSE 'pg' END END AS infer_service_name, CASE WHEN span_kind = '3' THEN 'database' END AS infer_service_type, CASE WHEN span_kind = '3' THEN 'pg' END AS infer_service_system FROM s")
+#: Span kind, attributes, and the name, type and system that they give.
+INFERRED = [
+    ("3", {"db_system": "postgresql", "db_name": "orders", "net_peer_name": "pg-primary.prod.svc"}, ("orders", "database", "postgresql")),
+    ("3", {"db_system_name": "mysql", "db_namespace": "billing"}, ("billing", "database", "mysql")),
+    ("3", {"db_system": "redis", "net_peer_name": "redis-master.prod:6379"}, ("redis-master.prod", "database", "redis")),
+    ("3", {"db_system": "redis"}, ("redis", "database", "redis")),
+    ("3", {"db_system": "mysql", "net_peer_name": "10.0.0.5:3306"}, ("mysql", "database", "mysql")),
+    ("4", {"messaging_system": "kafka", "messaging_destination_name": "checkout-events"}, ("checkout-events", "queue", "kafka")),
+    ("4", {"messaging_system": "rabbitmq", "messaging_destination": "task-queue"}, ("task-queue", "queue", "rabbitmq")),
+    ("3", {"rpc_system": "grpc", "rpc_service": "com.foo.Bar"}, ("com.foo.Bar", "rpc", "grpc")),
+    ("3", {"rpc_system": "aws-api", "rpc_service": "S3"}, ("S3", "rpc", "aws-api")),
+    ("3", {"server_address": "api.stripe.com", "http_request_method": "POST"}, ("api.stripe.com", "external", "http")),
+    ("3", {"http_url": "https://api.github.com/repos?page=2"}, ("api.github.com", "external", "http")),
+    ("3", {"net_peer_name": "thrift.internal"}, ("thrift.internal", "external", None)),
+    ("3", {"peer_service": "payments-db", "db_system": "postgresql", "db_name": "orders"}, ("payments-db", "database", "postgresql")),
+    ("3", {"net_peer_name": "10.0.0.5"}, (None, None, None)),
+    ("3", {"net_peer_name": "2001:db8::1"}, (None, None, None)),
+    ("3", {"net_peer_name": "[::1]:6379", "http_host": "  cache.prod:80 "}, ("cache.prod", "external", None)),
+    ("3", {"url_full": "http://10.0.0.5/x"}, (None, None, None)),
+    ("3", {"db_system": "  ", "db_name": ""}, (None, None, None)),
+    ("2", {"db_system": "redis"}, (None, None, None)),
+]
+
+
+def _inferred(c: Catalog) -> DataFrame:
+    k = F.col("span_id").cast("long") % len(INFERRED)
+    pick = lambda values: F.element_at(F.array(*[F.lit(x).cast("string") for x in values]), (k + 1).cast("int"))
+    names = sorted({n for _, attributes, _ in INFERRED for n in attributes})
+    spans_ = c.df("spans", "traces").drop("infer_service_name").withColumns({n: pick([a.get(n) for _, a, _ in INFERRED]) for n in names} | {"span_kind": pick([x for x, _, _ in INFERRED])})
+    return TR.infer_services(spans_).select("span_id", "infer_service_name", "infer_service_type", "infer_service_system")
+
+
+_quoted = lambda x: "NULL" if x is None else f"'{x}'"
+does("infer_services", _inferred, f"""WITH s AS {{SPANS}}, k(i, name, type, system) AS (VALUES {', '.join(f"({i}, {', '.join(map(_quoted, found))})" for i, (_, _, found) in enumerate(INFERRED))})
+SELECT span_id, name AS infer_service_name, type AS infer_service_type, system AS infer_service_system FROM s JOIN k ON CAST(span_id AS BIGINT) % {len(INFERRED)} = i""")
 
 # -- windows over event time, as batches and as streams ----------------------------------------------
 does("window_tumbling", lambda c: ST.tumbling(c.df("events"), "6 hours", ["event_type"]).withColumn("total", F.round("total", 4)), "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -359,15 +399,17 @@ does("join_limited_broadcast", lambda c: R.limited_broadcast_join(c.df("nation")
 
 # -- PromQL ------------------------------------------------------------------------------------------
 HOUR = 3_600_000_000
+#: The whole range of the events, from midnight to midnight: 721 points.
+FIRST, LAST = START - 9 * DAY, START + 21 * DAY
 _M = "m AS (SELECT epoch_us(ts) AS ts, event_type, CAST(user_id % 3 AS VARCHAR) AS shard, value AS v FROM events)"
-_G = f"g AS (SELECT unnest(range({START}, {START + DAY + 1}, {HOUR})) AS t)"
+_G = f"g AS (SELECT unnest(range({FIRST}, {LAST + 1}, {HOUR})) AS t)"
 _R = f"WITH {_M}, {_G}, r AS (SELECT event_type, shard, t, ts, v FROM m JOIN g ON ts >= t - {6 * HOUR} AND ts <= t)"
 _I = f"WITH {_M}, {_G}, i AS (SELECT event_type, shard, t, arg_max(v, ts) AS v FROM m JOIN g ON ts > t - {HOUR} AND ts <= t GROUP BY ALL)"
 
 
 def prom(name: str, text: str, oracle: str | None = None, labels: tuple[str, ...] = ("event_type", "shard"), **options) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = PQ.query_range(catalog(spark, sf_dir), text, START, START + DAY, HOUR, **({"lookback": HOUR} | options))
+        df = PQ.query_range(catalog(spark, sf_dir), text, FIRST, LAST, HOUR, **({"lookback": HOUR} | options))
         return df.select(*[F.col("labels")[x].alias(x) for x in labels], "t", F.round("v", 6).alias("v"))
 
     QUERIES[name] = run
@@ -408,7 +450,7 @@ prom("prom_resets", f"resets({_M6})", f"{_L} SELECT event_type, shard, t, CAST(d
 prom("prom_deriv", f"deriv({_M6})", f"{_R} SELECT event_type, shard, t, round(regr_slope(v, (ts - t) / 1e6::DOUBLE), 6) AS v FROM r GROUP BY event_type, shard, t HAVING count(*) > 1")
 prom("prom_predict_linear", f"predict_linear({_M6}, 3600)", f"{_R} SELECT event_type, shard, t, round(regr_slope(v, (ts - t) / 1e6::DOUBLE) * 3600 + regr_intercept(v, (ts - t) / 1e6::DOUBLE), 6) AS v FROM r GROUP BY event_type, shard, t HAVING count(*) > 1")
 prom("prom_holt_winters", f"holt_winters({_M6}, 0.5, 0.5)")
-prom("prom_subquery", "max_over_time(event_value[3h:1h])", f"WITH {_M}, g AS (SELECT unnest(range({START - 3 * HOUR}, {START + DAY + 1}, {HOUR})) AS t), i AS (SELECT event_type, shard, t, arg_max(v, ts) AS v FROM m JOIN g ON ts > t - {HOUR} AND ts <= t GROUP BY ALL) SELECT event_type, shard, g.t, round(max(v), 6) AS v FROM i JOIN g ON i.t >= g.t - {3 * HOUR} AND i.t <= g.t WHERE g.t >= {START} GROUP BY event_type, shard, g.t")
+prom("prom_subquery", "max_over_time(event_value[3h:1h])", f"WITH {_M}, g AS (SELECT unnest(range({FIRST - 3 * HOUR}, {LAST + 1}, {HOUR})) AS t), i AS (SELECT event_type, shard, t, arg_max(v, ts) AS v FROM m JOIN g ON ts > t - {HOUR} AND ts <= t GROUP BY ALL) SELECT event_type, shard, g.t, round(max(v), 6) AS v FROM i JOIN g ON i.t >= g.t - {3 * HOUR} AND i.t <= g.t WHERE g.t >= {FIRST} GROUP BY event_type, shard, g.t")
 prom("prom_absent", 'absent(event_value{event_type="none"})', f"WITH {_G} SELECT t, CAST(1 AS DOUBLE) AS v FROM g", labels=())
 prom("prom_absent_over_time", f"absent_over_time({_M6})", "SELECT NULL::VARCHAR AS event_type, NULL::VARCHAR AS shard, 0::BIGINT AS t, 0::DOUBLE AS v WHERE FALSE")
 for _name, _sql in {"abs": "abs(v)", "ceil": "ceil(v)", "floor": "floor(v)", "exp": None, "sqrt": "sqrt(v)", "ln": "ln(v)", "log2": "log2(v)", "log10": "log10(v)", "round": "round(v)", "sgn": "CAST(sign(v) AS DOUBLE)"}.items():
@@ -441,7 +483,7 @@ prom("prom_or", 'event_value{shard="1"} or event_value{shard="2"}', f"{_I} SELEC
 prom("prom_unless", 'event_value unless event_value{shard="1"}', f"{_I} SELECT event_type, shard, t, round(v, 6) AS v FROM i WHERE shard <> '1'")
 prom("prom_unary", "-event_value", f"{_I} SELECT event_type, shard, t, round(-v, 6) AS v FROM i")
 _B = f"""WITH e AS (SELECT _timestamp - _timestamp % {HOUR} AS t, event_type, value FROM {EVENTS}), tops(top) AS (VALUES (10::DOUBLE), (50::DOUBLE), (100::DOUBLE), ('inf'::DOUBLE)),
-b AS (SELECT t, event_type, top, count(*) AS c FROM e, tops WHERE value <= top AND t BETWEEN {START} AND {START + DAY} GROUP BY ALL),
+b AS (SELECT t, event_type, top, count(*) AS c FROM e, tops WHERE value <= top AND t BETWEEN {FIRST} AND {LAST} GROUP BY ALL),
 r AS (SELECT *, coalesce(lag(top) OVER w, 0) AS lo, coalesce(lag(c) OVER w, 0) AS lc, max(c) OVER (PARTITION BY t, event_type) AS n, count(*) OVER (PARTITION BY t, event_type) AS k FROM b WINDOW w AS (PARTITION BY t, event_type ORDER BY top))"""
 
 
@@ -451,9 +493,9 @@ def _below(x: int) -> str:
 
 prom("prom_histogram_fraction", "histogram_fraction(5, 60, event_bucket)", f"{_B} SELECT event_type, t, round(CASE WHEN max(k) < 2 THEN 'nan'::DOUBLE ELSE ({_below(60)} - {_below(5)}) / max(n) END, 6) AS v FROM r GROUP BY event_type, t", labels=("event_type",))
 prom("prom_histogram_quantile", "histogram_quantile(0.9, event_bucket)", f"{_B}, f AS (SELECT *, row_number() OVER (PARTITION BY t, event_type ORDER BY top) AS i FROM r WHERE c >= 0.9::DOUBLE * n) SELECT event_type, t, round(CASE WHEN k < 2 THEN 'nan'::DOUBLE WHEN isinf(top) THEN lo ELSE lo + (top - lo) * (0.9::DOUBLE * n - lc) / (c - lc) END, 6) AS v FROM f WHERE i = 1", labels=("event_type",))
-does("prom_series", lambda c: PQ.series(c, ['event_value{shard="1"}'], START, START + DAY).select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["shard"].alias("shard")), f"SELECT DISTINCT event_type, '1' AS shard FROM {{E}} WHERE user_id % 3 = 1 AND _timestamp >= {START} AND _timestamp <= {START + DAY}")
-does("prom_label_values", lambda c: PQ.label_values(c, "event_type", "event_value", START, START + DAY), f"SELECT DISTINCT event_type AS value FROM {{E}} WHERE _timestamp >= {START} AND _timestamp <= {START + DAY}")
-does("prom_instant", lambda c: PQ.query(c, "sum by (event_type) (sum_over_time(event_value[1d]))", START + DAY).select(F.col("labels")["event_type"].alias("event_type"), F.round("v", 6).alias("v")), f"SELECT event_type, round(sum(value), 6) AS v FROM {{E}} WHERE _timestamp >= {START} AND _timestamp <= {START + DAY} GROUP BY event_type")
+does("prom_series", lambda c: PQ.series(c, ['event_value{shard="1"}'], FIRST, LAST).select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["shard"].alias("shard")), f"SELECT DISTINCT event_type, '1' AS shard FROM {{E}} WHERE user_id % 3 = 1 AND _timestamp >= {FIRST} AND _timestamp <= {LAST}")
+does("prom_label_values", lambda c: PQ.label_values(c, "event_type", "event_value", FIRST, LAST), f"SELECT DISTINCT event_type AS value FROM {{E}} WHERE _timestamp >= {FIRST} AND _timestamp <= {LAST}")
+does("prom_instant", lambda c: PQ.query(c, "sum by (event_type) (sum_over_time(event_value[30d]))", LAST).select(F.col("labels")["event_type"].alias("event_type"), F.round("v", 6).alias("v")), f"SELECT event_type, round(sum(value), 6) AS v FROM {{E}} WHERE _timestamp >= {FIRST} AND _timestamp <= {LAST} GROUP BY event_type")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -221,23 +221,27 @@ def with_genai(spans: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     return spans.join(prices, "llm_model", "left").withColumn("llm_cost", cost).drop("input_price", "output_price")
 
 
-def fields_of(records: DataFrame, column: str = "record", most: int = 2000) -> dict[str, str]:
+def fields_of(records: DataFrame, column: str = "record") -> dict[str, str]:
     """The fields that occur in flat JSON texts and their types: bigint, double, boolean, or string
     where they are mixed. The result is as wide as the stream, not as long."""
     keys = records.select(F.explode(F.json_object_keys(column)).alias("k"), F.col(column).alias("j"))
     value = F.expr("to_json(named_struct('x', variant_get(try_parse_json(j), '$', 'map<string,variant>')[k]))")
     raw = F.regexp_replace(value, r'^\{"x":|\}$', "")
     kind = F.when(raw.isin("true", "false"), "boolean").when(raw.rlike(r"^-?\d{1,18}$"), "bigint").when(raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "double").when(raw.isin("null", "{}", ""), F.lit(None)).otherwise("string")
-    rows = keys.groupBy("k").agg(F.collect_set(kind).alias("kinds")).orderBy("k").limit(most).collect()
+    rows = keys.groupBy("k").agg(F.collect_set(kind).alias("kinds")).orderBy("k").collect()
     return {r["k"]: r["kinds"][0] if len(r["kinds"]) == 1 else "double" if set(r["kinds"]) == {"bigint", "double"} else "string" for r in rows}
 
 
-def spread(records: DataFrame, fields: dict[str, str] | None = None, column: str = "record") -> DataFrame:
-    """Columns for the fields of flat JSON texts, in alphabetical order, _timestamp among them."""
+def spread(records: DataFrame, fields: dict[str, str] | None = None, column: str = "record", most: int = 2000) -> DataFrame:
+    """Columns for the fields of flat JSON texts, in alphabetical order, _timestamp among them. Fields
+    beyond the first ``most`` stay together, as texts in a map column named _more."""
     fields = fields_of(records, column) if fields is None else fields
+    names = sorted(k for k in fields if k != TIME)
     values = F.from_json(column, "map<string,string>")
     out = records.withColumn("__values", values)
-    cols = {k: F.element_at("__values", k).try_cast(t).alias(k) for k, t in fields.items() if k != TIME} | {TIME: F.col(TIME)}
+    cols = {k: F.element_at("__values", k).try_cast(fields[k]).alias(k) for k in names[:most]} | {TIME: F.col(TIME)}
+    if rest := names[most:]:
+        cols["_more"] = F.map_filter("__values", lambda k, _: k.isin(rest)).alias("_more")
     return out.select(*[cols[k] for k in sorted(cols)])
 
 

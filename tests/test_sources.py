@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestream.catalog import Catalog, conform, time_range, union_versions
 from lodestream.operators import traces as TR
+from lodestream.queries import INFERRED
 from lodestream.sources import ingest as I
 from lodestream.sources import storage as ST
 
@@ -124,9 +125,17 @@ def test_geo(spark):
 
 
 def test_inferred_services(spark):
-    spans = spark.createDataFrame([("3", "peer", "pg", None), ("3", None, "pg", "db1"), ("2", "peer", None, None), ("4", None, None, None)], "span_kind string, peer_service string, db_system string, db_name string")
-    got = [tuple(r)[4:] for r in TR.infer_services(spans).collect()]
-    assert got == [("peer", "database", "pg"), ("db1", "database", "pg"), (None, None, None), (None, None, None)]
+    """With dots in the names, and without the columns that no row has."""
+    for kind, attributes, want in INFERRED:
+        row = {"span_kind": kind} | {"`" + k.replace("_", ".") + "`": v for k, v in attributes.items()}
+        spans = spark.range(1).select(*[F.lit(v).cast("string").alias(k.strip("`")) for k, v in row.items()])
+        assert tuple(TR.infer_services(spans).first())[len(row) :] == want, attributes
+
+
+def test_spread_keeps_fields_beyond_the_bound(spark):
+    records = spark.createDataFrame([(1, '{"a": 1, "b": "x", "c": true}'), (2, '{"c": false, "d": 4}')], "_timestamp long, record string")
+    rows = I.spread(records, most=2).orderBy("_timestamp").collect()
+    assert [(r.a, r.b, r._more) for r in rows] == [(1, "x", {"c": "true"}), (None, None, {"c": "false", "d": "4"})]
 
 
 def test_catalog(spark):
