@@ -221,14 +221,14 @@ def _signatures(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> I
         yield pa.RecordBatch.from_arrays([batch.column(0), _longs(fp), _longs(keys), pa.array(list(map(len, sets)), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     if held.any():
         none = pa.nulls(PIECES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(held, PIECES)], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(held, PIECES)], pa.binary())], names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[piece] = total.get(piece, 0) + np.frombuffer(counts, np.int64)
+            total[piece] = total.get(piece, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
 
 
