@@ -83,6 +83,12 @@ def dropped(*tables: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def released(df: DataFrame) -> None:
+    """Has the driver see now which shuffles nothing refers to any more, so that their files go. It would
+    do so at its next collection, which may be many small steps away; nothing that is in use is touched."""
+    df.sparkSession._jvm.System.gc()
+
+
 def _drop_tables() -> None:
     for path, spark in list(_tables.items()):
         with contextlib.suppress(Exception):  # the session may be gone, and its folder with it

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         # hooking: a tree's root learns the least label that any of its members sees
-        met = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("near"))
+        met = cut(labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("near")))
         # (written out, so that the join below deals out both of its sides and a large tree's nodes can be split)
         hooks = cut(met.groupBy("root").agg(F.min("near").alias("up")).where("up < root").withColumnRenamed("root", "old"))
         new = F.least("near", F.coalesce("up", "near"))
@@ -29,4 +29,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return labels
         up = moved.select(F.col("node").alias("old"), F.col("root").alias("higher"))
         labels = cut(moved.join(up, moved["root"] == up["old"]).select("node", F.least("root", "higher").alias("root")))
+        released(labels)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, columns, cut, dropped, fresh, map_texts, words_of, written
+from .common import ascii_lower, columns, cut, dropped, fresh, map_texts, released, words_of, written
 from .components import components
 
 BITS, PIVOTS, BLOCK = 64, 16, 2048
@@ -388,6 +388,7 @@ def near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, s
     holders = cut(met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")))
     scores = cut(met.join(holders, "shingle").groupBy("key").agg(F.sum("n").alias("score")))
     met_by = written(met.join(scores, "key"))
+    released(met_by)
 
     def sets_of(keys: DataFrame) -> DataFrame:
         ids = _marks(keys.join(nodes, "key").select("least"))
@@ -418,6 +419,7 @@ def near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, s
     of = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
     sets = sets_of(cut(family.select("key")))
     met_again = _placed(family, of, "family").join(sets, "key").select(*names, "shingles").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    released(sets)
     more = cut(map_texts(met_again, partial(_by_place, partial(_within, radius, similarity, pivots()), [*names, "shingles"]), "a long, b long").distinct())
     dropped(sets)
     found = labels if more.isEmpty() else components(links.union(more))
