@@ -38,6 +38,9 @@ SKETCH, PIECES, SALTS = 1 << 19, 64, 16
 MARK_BITS = 23
 MARKS = 1 << MARK_BITS
 PLACE = ["place", "i", "j"]
+ROW = [*PLACE, "side", "key", "fp", "size", "root"]
+#: Rows of a place whose pairs are compared at once, such pairs in memory, and rows taken together.
+SMALL, PAIRS, TOGETHER = 128, 1 << 18, 1 << 13
 
 
 def hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -318,8 +321,66 @@ def _joined(t: pa.Table, radius: int, similarity: float, refs: np.ndarray, sets:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
-def _across(radius: int, similarity: float, refs: np.ndarray, t: pa.Table) -> pa.RecordBatch:
-    return _joined(t, radius, similarity, refs, None)
+def _forest_of(rows: np.ndarray, radius: int, similarity: float, refs: np.ndarray) -> pa.RecordBatch:
+    """Spanning forests of the pairs that might be links, of whole places (columns ROW). The pairs of
+    places of up to SMALL rows are compared together, those of larger places a row at a time."""
+    i, j, side, key, fp, size, root = rows[1:]
+    bits = fp.view(np.uint64)
+    table = np.bitwise_count(bits[None, :] ^ refs[:, None]).astype(np.int16)
+    edge = np.flatnonzero(np.diff(rows[:3], axis=1).any(axis=0)) + 1
+    begin, count = np.r_[0, edge], np.diff(np.r_[0, edge, len(key)])
+    parent = list(range(len(key)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a, b = [], []
+    for m in np.unique(count[(count > 1) & (count <= SMALL)]).tolist():
+        left, right = np.triu_indices(m, 1)
+        at, step = begin[count == m], max(1, PAIRS // len(left))
+        for lo in range(0, len(at), step):
+            x, y = ((at[lo : lo + step, None] + k[None, :]).ravel() for k in (left, right))
+            go = (root[x] != root[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+            x, y = x[go], y[go]
+            for distance in table:  # the pivots
+                go = np.abs(distance[x] - distance[y]) <= radius
+                x, y = x[go], y[go]
+            go = np.bitwise_count(bits[x] ^ bits[y]) <= radius
+            x, y = x[go], y[go]
+            go = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+            for p, q in zip(x[go].tolist(), y[go].tolist(), strict=True):
+                if (r := top(p)) != (t := top(q)):
+                    parent[t] = r
+                    a.append(p)
+                    b.append(q)
+    parts = [pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["a", "b"])] if a else []
+    for lo, n in zip(begin[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
+        parts.append(_joined(pa.table(list(rows[:, lo : lo + n]), names=ROW), radius, similarity, refs, None))
+    none = pa.nulls(0, pa.int64())
+    whole = pa.Table.from_batches([pa.RecordBatch.from_arrays([none, none], ["a", "b"]), *parts]).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in whole.columns], ["a", "b"])
+
+
+def _across(radius: int, similarity: float, refs: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forests of all places. Rows (columns ROW) come sorted by place, and those of a place may come
+    in several batches; TOGETHER rows or more are taken at a time, up to the end of a place."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]))
+        last = held[-1][:3, -1:]
+        if sum(h.shape[1] for h in held) < TOGETHER or (held[0][:3, :1] == last).all():
+            continue
+        rows = np.concatenate(held, axis=1)
+        end = int(np.flatnonzero((rows[:3] != last).any(axis=0))[-1]) + 1
+        yield _forest_of(rows[:, :end], radius, similarity, refs)
+        held = [rows[:, end:].copy()]
+    if held:
+        yield _forest_of(np.concatenate(held, axis=1), radius, similarity, refs)
 
 
 def _within(radius: int, similarity: float, refs: np.ndarray, t: pa.Table) -> pa.RecordBatch:
@@ -411,16 +472,15 @@ def near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, s
     labels = components(links)
     rooted = met_by.join(labels.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = cut(rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "n"))
-    names = [*PLACE, "side", "key", "fp", "size", "root"]
-    ordered = _placed(rooted, open_, "shingle").select(*names).repartition(*PLACE).sortWithinPartitions(*PLACE)
-    maybe = cut(map_texts(ordered, partial(_by_place, partial(_across, radius, similarity, pivots()), names), "a long, b long").distinct())
+    ordered = _placed(rooted, open_, "shingle").select(*ROW).repartition(*PLACE).sortWithinPartitions(*PLACE)
+    maybe = cut(map_texts(ordered, partial(_across, radius, similarity, pivots()), "a long, b long").distinct())
     # what might be linked, over whatever chain of others, is one place now, and its sets decide
     family = cut(components(maybe).toDF("key", "family").join(rooted.select("key", "fp", "size", "root").distinct(), "key"))
     of = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
     sets = sets_of(cut(family.select("key")))
-    met_again = _placed(family, of, "family").join(sets, "key").select(*names, "shingles").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    met_again = _placed(family, of, "family").join(sets, "key").select(*ROW, "shingles").repartition(*PLACE).sortWithinPartitions(*PLACE)
     released(sets)
-    more = cut(map_texts(met_again, partial(_by_place, partial(_within, radius, similarity, pivots()), [*names, "shingles"]), "a long, b long").distinct())
+    more = cut(map_texts(met_again, partial(_by_place, partial(_within, radius, similarity, pivots()), [*ROW, "shingles"]), "a long, b long").distinct())
     dropped(sets)
     found = labels if more.isEmpty() else components(links.union(more))
     rooted = nodes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -141,6 +142,38 @@ def jaccard(a, b):
     return len(a & b) / max(1, len(a | b))
 
 
+@pytest.mark.parametrize("small", [128, 3])
+def test_simhash_places(monkeypatch, small):
+    """Places met together, cut over batches, connect what all pairs of each place connect."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "TOGETHER", 50)
+    monkeypatch.setattr(simhash, "PAIRS", 20)
+    rng, rows = random.Random(3), []
+    for place in range(120):
+        base, halves = rng.getrandbits(62), place % 4 == 0
+        for _ in range(rng.choice([1, 2, 3, 5, 12])):
+            fp = base
+            for _ in range(rng.randrange(12)):
+                fp ^= 1 << rng.randrange(64)
+            fp -= (fp >> 63) << 64
+            rows.append((place, 0, int(halves), rng.randrange(2) if halves else 0, len(rows), fp, rng.randrange(80, 110), rng.randrange(4)))
+    label = {r[4]: r[4] for r in rows}
+    links = [(a[4], b[4]) for a in rows for b in rows if a[0] == b[0] and a[4] < b[4] and a[7] != b[7] and (a[2] == 0 or a[3] != b[3]) and ((a[5] ^ b[5]) % (1 << 64)).bit_count() <= 9 and min(a[6], b[6]) >= 0.8 * max(a[6], b[6])]
+
+    def connect(pairs):
+        out = dict(label)
+        for _ in range(13):
+            for a, b in pairs:
+                out[a] = out[b] = min(out[a], out[b])
+        return out
+
+    columns = list(zip(*rows, strict=True))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 7], pa.int64()) for c in columns], simhash.ROW) for k in range(0, len(rows), 7)]
+    got = [(r["a"], r["b"]) for b in simhash._across(9, 0.8, simhash.pivots(), iter(batches)) for r in b.to_pylist()]
+    assert len(links) > len(got) > 20 and set(got) <= {x for a, b in links for x in ((a, b), (b, a))}
+    assert connect(got) == connect(links)
+
+
 @pytest.mark.parametrize("block", [8192, 3])
 def test_simhash_similar(spark, monkeypatch, block):
     """Near copies that differ in more than four bits go; the groups are those of all pairs."""
@@ -240,7 +273,6 @@ def twins():
 
 def test_substring_twins_stay(spark):
     """Words whose hashes collide are told apart by their letters."""
-    import pyarrow as pa
 
     a, b = twins()
     h, _ = substring_dedup._words(pa.array([a, b]))
@@ -280,7 +312,6 @@ def test_substring_odd_and_empty(odd, empty):
 
 
 def test_word_hashes():
-    import pyarrow as pa
 
     texts = ["a b", None, "", " \t b\na ", "é\x1f x", "b"]
     h, n = substring_dedup._words(pa.array(texts))
