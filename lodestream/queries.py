@@ -18,6 +18,7 @@ from .plans.planner import Planner, Request, search
 from .promql import engine as PQ
 from .session import configure
 from .sources import ingest as IN
+from .sources import storage as SG
 from .streaming import pipelines as ST
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
@@ -328,6 +329,29 @@ def _otlp(c: Catalog) -> DataFrame:
 
 
 does("ingest_otlp_traces", _otlp, "SELECT _timestamp, CAST(event_id % 10 AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id, '' AS reference_parent_span_id, event_type AS service_name, 'op' AS operation_name, '2' AS span_kind, 'UNSET' AS span_status, _timestamp AS start_time, _timestamp AS end_time FROM {E}")
+
+
+def _bulk(c: Catalog) -> DataFrame:
+    """Eight request bodies, in which an action line comes before each document."""
+    e = c.df("events")
+    action, doc = F.to_json(F.struct(F.struct(F.col("event_type").alias("_index")).alias("index"))), F.to_json(F.struct("_timestamp", "event_id"))
+    lines = e.select((F.col("event_id") % 8).alias("file"), F.posexplode(F.array(action, doc)).alias("at", "value"), "event_id")
+    out = IN.from_bulk(lines.select("file", "value", (F.col("event_id") * 2 + F.col("at")).alias("n")))
+    return out.select("stream", "_timestamp", F.get_json_object("record", "$.event_id").cast("long").alias("event_id"))
+
+
+def _otlp_logs(c: Catalog) -> DataFrame:
+    record = F.struct((F.col("_timestamp") * 1000).cast("string").alias("timeUnixNano"), F.struct(F.col("props").alias("stringValue")).alias("body"), F.col("event_type").alias("severityText"))
+    line = F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs")))
+    return IN.spread(IN.from_otlp_logs(_lines(c, resourceLogs=line)), {"body": "string", "severity": "string"})
+
+
+does("ingest_bulk", _bulk, "SELECT event_type AS stream, _timestamp, event_id FROM {E}")
+does("ingest_otlp_logs", _otlp_logs, "SELECT _timestamp, props AS body, event_type AS severity FROM {E}")
+does(
+    "token_index_search", lambda c: SG.search_index(c.df("documents").select("doc_id"), SG.token_index(c.df("documents"), "text", ["doc_id"]), "License", ["doc_id"]),
+    r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])license([^\p{L}\p{N}_]|$)')",
+)
 #: Span kind, attributes, and the name, type and system that they give.
 INFERRED = [
     ("3", {"db_system": "postgresql", "db_name": "orders", "net_peer_name": "pg-primary.prod.svc"}, ("orders", "database", "postgresql")),
