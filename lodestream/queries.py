@@ -305,10 +305,18 @@ does(
     "ingest_json", lambda c: IN.spread(IN.from_json_lines(_lines(c, _timestamp=F.col("_timestamp"), event_id=F.col("event_id"), where_=F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user")), value=F.col("value")), "s")),
     "SELECT _timestamp, event_id, value, event_type AS where__type, user_id AS where__user FROM {E}",
 )
-does(
-    "ingest_hec", lambda c: IN.spread(IN.from_hec(_lines(c, time=F.col("_timestamp"), index=F.col("event_type"), event=F.col("props"))), {"log": "string"}).join(c.df("events").select("_timestamp", "event_id"), "_timestamp"),
-    "SELECT _timestamp, props AS log, event_id FROM {E}",
-)
+
+
+def _hec(c: Catalog) -> DataFrame:
+    """Each line brings its event_id in its fields, as a time can be that of several events. An event
+    without props is sent as an empty object, as null is no event."""
+    line = lambda event: F.to_json(F.struct(F.col("_timestamp").alias("time"), F.col("event_type").alias("index"), F.struct("event_id").alias("fields"), event.alias("event")))
+    empty = F.expr("cast(map() as map<string,string>)")
+    lines = c.df("events").select(F.when(F.col("props").isNull(), line(empty)).otherwise(line(F.col("props"))).alias("value"))
+    return IN.spread(IN.from_hec(lines), {"log": "string", "event_id": "bigint"}).select("_timestamp", "log", "event_id")
+
+
+does("ingest_hec", _hec, "SELECT _timestamp, props AS log, event_id FROM {E}")
 does(
     "ingest_loki",
     lambda c: IN.spread(IN.from_loki(_lines(c, streams=F.array(F.struct(F.struct(F.col("event_type").alias("job")).alias("stream"), F.array(F.array((F.col("_timestamp") * 1000).cast("string"), F.col("props"))).alias("values"))))), {"job": "string", "log": "string"}),
