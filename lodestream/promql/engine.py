@@ -191,7 +191,7 @@ class Engine:
     """Evaluates PromQL over a catalog's metric streams.
 
     strict=True follows Prometheus where the default differs: regular expressions are anchored as
-    a whole, quantile() groups, and absent_over_time() works."""
+    a whole, quantile() groups, absent_over_time() works, and sgn() of zero is zero."""
 
     def __init__(self, catalog: Catalog, start: int, end: int, step: int, lookback: int = LOOKBACK, strict: bool = False, placeholder: str = "_o2_all_"):
         if step <= 0:
@@ -394,7 +394,7 @@ class Engine:
         elif name in ("ln", "log2", "log10"):
             new = _log(v, name)
         elif name == "sgn":
-            new = F.when(F.isnan(v), v).when(v > 0, 1.0).when(v < 0, -1.0).otherwise(F.when(F.lit(1.0) / 1 * F.atan2(v, F.lit(-1.0)) < 0, -1.0).otherwise(1.0))
+            new = F.when(F.isnan(v), v).when(v > 0, 1.0).when(v < 0, -1.0).otherwise(v if self.strict else F.when(F.lit(1.0) / 1 * F.atan2(v, F.lit(-1.0)) < 0, -1.0).otherwise(1.0))
         elif name in ("clamp", "clamp_min", "clamp_max"):
             new = v
             if name != "clamp_max":

@@ -487,7 +487,8 @@ prom("prom_absent", 'absent(event_value{event_type="none"})', f"WITH {_G} SELECT
 prom("prom_absent_over_time", f"absent_over_time({_M6})", "SELECT NULL::VARCHAR AS event_type, NULL::VARCHAR AS shard, 0::BIGINT AS t, 0::DOUBLE AS v WHERE FALSE")
 for _name, _sql in {"abs": "abs(v)", "ceil": "ceil(v)", "floor": "floor(v)", "exp": None, "sqrt": "sqrt(v)", "ln": "ln(v)", "log2": "log2(v)", "log10": "log10(v)", "round": "round(v)", "sgn": "CAST(sign(v) AS DOUBLE)"}.items():
     _arg = "event_value / 100" if _name == "exp" else "event_value"
-    prom(f"prom_{_name}", f"{_name}({_arg})", f"{_I} SELECT event_type, shard, t, round({_sql or 'exp(v / 100)'}, 6) AS v FROM i")
+    # by the SQL and Prometheus sgn(0) is 0, by the engine's default 1
+    prom(f"prom_{_name}", f"{_name}({_arg})", f"{_I} SELECT event_type, shard, t, round({_sql or 'exp(v / 100)'}, 6) AS v FROM i", strict=_name == "sgn")
 prom("prom_clamp", "clamp(event_value, 10, 40)", f"{_I} SELECT event_type, shard, t, round(least(greatest(v, 10), 40), 6) AS v FROM i")
 prom("prom_clamp_min_max", "clamp_max(clamp_min(event_value, 5), 50)", f"{_I} SELECT event_type, shard, t, round(least(greatest(v, 5), 50), 6) AS v FROM i")
 prom("prom_label_replace", 'label_replace(event_value, "event_type", "x$1", "event_type", "^(e.*)$")', f"{_I} SELECT CASE WHEN event_type LIKE 'e%' THEN 'x' || event_type ELSE event_type END AS event_type, shard, t, round(v, 6) AS v FROM i")

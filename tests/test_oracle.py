@@ -60,3 +60,9 @@ def test_hec_events_of_one_time(spark, sf, tmp_path):
     events = [f"('2024-01-10 00:00:0{k}.000001', 'error', 1, {p})" for k in (1, 1, 2) for p in props]
     got, want = against_sql("ingest_hec", spark, sf, tmp_path, ", ".join(events))
     assert got == want and len(got) == 33
+
+
+def test_sgn_of_zero(spark, sf, tmp_path):
+    events = [f"('2024-01-10 0{k}:30:00', 'error', '{v}', NULL)" for k, v in enumerate(("0.0", "-0.0", "2.5", "-2.5"))]
+    got, want = against_sql("prom_sgn", spark, sf, tmp_path, ", ".join(events))
+    assert got == want and [r[-1] for r in got] == [0, 0, 1, -1]

@@ -92,6 +92,11 @@ def test_instant_functions(cat):
         at(cat, "nothing_like_it(temp)")
 
 
+def test_strict_sgn(cat):
+    got = at(cat, "sgn(odd)", 600, strict=True)
+    assert got[(("k", "z"),)] == 0.0 and got[(("k", "m"),)] == -1.0 and got[(("k", "i"),)] == 1.0 and math.isnan(got[(("k", "n"),)])
+
+
 def test_histogram_quantile(cat):
     assert one(cat, "histogram_quantile(0.5, lat_bucket)", 600) == pytest.approx(0.1 + 0.4 * (20 - 10) / 20)
     assert one(cat, "histogram_quantile(0.1, lat_bucket)", 600) == pytest.approx(0.04)
