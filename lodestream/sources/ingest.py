@@ -103,12 +103,14 @@ def _raw(json_col: str, path: str) -> Column:
 def from_hec(lines: DataFrame) -> DataFrame:
     """Splunk HEC: a text event becomes {"log": text}, an object is kept, fields are laid over it,
     time is the record's, and a missing index means the default stream."""
-    df = lines.withColumn("event", F.expr("to_json(named_struct('x', try_variant_get(try_parse_json(value), '$.event', 'variant')))"))
+    # columns of their own, as they are used more than once
+    df = lines.withColumn("event", F.expr("to_json(named_struct('x', try_variant_get(try_parse_json(value), '$.event', 'variant')))")).withColumn("fields", F.get_json_object("value", "$.fields"))
     text = F.get_json_object("value", "$.event")
     raw = F.expr("substr(event, 6, length(event) - 6)")
     base = F.when(raw.startswith('"'), F.to_json(F.struct(text.alias("log")))).when(raw.startswith("{"), raw)
-    merged = F.to_json(F.map_concat(F.from_json(base, "map<string,string>"), F.coalesce(F.from_json(F.get_json_object("value", "$.fields"), "map<string,string>"), F.expr("cast(map() as map<string,string>)"))))
-    with_fields = F.when(F.get_json_object("value", "$.fields").isNotNull(), merged).otherwise(base)
+    own = F.when(raw.startswith('"'), F.map_filter(F.create_map(F.lit("log"), text), lambda _, v: v.isNotNull())).when(raw.startswith("{"), F.from_json(raw, "map<string,string>"))
+    merged = F.to_json(F.map_concat(own, F.coalesce(F.from_json("fields", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))))
+    with_fields = F.when(F.col("fields").isNotNull(), merged).otherwise(base)
     stream = F.coalesce(F.get_json_object("value", "$.index"), F.lit(DEFAULT_STREAM))
     return _records(df, stream, with_fields, F.get_json_object("value", "$.time"))
 
