@@ -22,6 +22,8 @@ SPACE_SQL = r"[\x20\x09-\x0D]+"
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Rows of whole texts that a worker takes at once: some texts are megabytes long.
 TEXT_BATCH = 400
+#: Rows for which gathered() makes a file.
+FILE_ROWS = 1 << 15
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,10 +52,20 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestream-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: what follows survives the loss of executors."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise in the shared checkpoint folder: what follows survives the loss of executors. rows: a
+    bound on the number of rows, if one is known, for gathered()."""
     ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else gathered(df, rows)).checkpoint(eager=True)
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """The same, dealt to a task a core or FILE_ROWS rows, if that is a tenth of the shuffle partitions or
+    fewer. Each file that is made on a local file system has the executor start up to four processes
+    (chmod, for it and its checksum), and until such a process runs it counts the executor's memory again."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+    return df.repartition(parts) if 10 * parts <= int(spark.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def written(df: DataFrame) -> DataFrame:

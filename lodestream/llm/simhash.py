@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, columns, cut, dropped, fresh, map_texts, released, words_of, written
+from .common import ascii_lower, columns, cut, dropped, fresh, gathered, map_texts, released, words_of, written
 from .components import components
 
 BITS, PIVOTS, BLOCK = 64, 16, 2048
 #: Counters of near_copies' sketch, the rows that carry them, and salts of common shingles.
 SKETCH, PIECES, SALTS = 1 << 19, 64, 16
+#: Rows of other tables that one with a set of shingles counts as.
+SET_ROWS = 16
 #: Bits of the marks of ids.
 MARK_BITS = 23
 MARKS = 1 << MARK_BITS
@@ -446,47 +448,50 @@ def near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, s
     nodes = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least"))
     met = written(kept.distinct().join(nodes.drop("least"), "key").select("shingle", "key", "fp", "size"))
     # a text that others were copied from has few shingles of its own, so its prefix meets most others
-    holders = cut(met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")))
-    scores = cut(met.join(holders, "shingle").groupBy("key").agg(F.sum("n").alias("score")))
-    met_by = written(met.join(scores, "key"))
+    many, texts = met.count(), prints.count()  # bounds on what follows
+    holders = cut(met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), many)
+    scores = cut(met.join(holders, "shingle").groupBy("key").agg(F.sum("n").alias("score")), texts)
+    met_by = written(gathered(met.join(scores, "key"), many))
     released(met_by)
 
-    def sets_of(keys: DataFrame) -> DataFrame:
+    def sets_of(keys: DataFrame, n: int) -> DataFrame:
         ids = _marks(keys.join(nodes, "key").select("least"))
         found = map_texts(rows, partial(_sets, shingle, seed, ids), "key long, shingles array<long>")
-        return written(found.join(keys, "key", "left_semi").dropDuplicates(["key"]))
+        return written(gathered(found.join(keys, "key", "left_semi").dropDuplicates(["key"]), n * SET_ROWS))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        sets = sets_of(cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
+        n = pairs.count()
+        sets = sets_of(cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), min(2 * n, texts)), min(2 * n, texts))
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        out = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+        out = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), n)
         dropped(sets)
         return out
 
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("at.fp"))) <= radius) & (F.least("size", "at.size") >= similarity * F.greatest("size", "at.size"))
-    heads = cut(met_by.groupBy("shingle").agg(F.max(F.struct("score", "key", "fp", "size")).alias("at")))
+    heads = cut(met_by.groupBy("shingle").agg(F.max(F.struct("score", "key", "fp", "size")).alias("at")), many)
     stars = met_by.join(heads, "shingle").where((F.col("key") != F.col("at.key")) & near)
     links = linked(stars.select(F.least("at.key", "key").alias("a"), F.greatest("at.key", "key").alias("b")).distinct())
-    labels = components(links)
+    labels = components(links, gather=True)
     rooted = met_by.join(labels.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = cut(rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "n"))
+    open_ = cut(rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "n"), many)
     ordered = _placed(rooted, open_, "shingle").select(*ROW).repartition(*PLACE).sortWithinPartitions(*PLACE)
     maybe = cut(map_texts(ordered, partial(_across, radius, similarity, pivots()), "a long, b long").distinct())
     # what might be linked, over whatever chain of others, is one place now, and its sets decide
-    family = cut(components(maybe).toDF("key", "family").join(rooted.select("key", "fp", "size", "root").distinct(), "key"))
-    of = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
-    sets = sets_of(cut(family.select("key")))
+    family = cut(components(maybe, gather=True).toDF("key", "family").join(rooted.select("key", "fp", "size", "root").distinct(), "key"), texts)
+    n = family.count()
+    of = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")), n)
+    sets = sets_of(cut(family.select("key"), n), n)
     met_again = _placed(family, of, "family").join(sets, "key").select(*ROW, "shingles").repartition(*PLACE).sortWithinPartitions(*PLACE)
     released(sets)
     more = cut(map_texts(met_again, partial(_by_place, partial(_within, radius, similarity, pivots()), [*ROW, "shingles"]), "a long, b long").distinct())
     dropped(sets)
-    found = labels if more.isEmpty() else components(links.union(more))
+    found = labels if more.isEmpty() else components(links.union(more), gather=True)
     rooted = nodes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     # written out, like hooks in components(), so that a large group's join can be split
-    tops = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    known = cut(rooted.select("key", "root").join(tops, "root").select("key", "component_id"))
+    tops = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), texts)
+    known = cut(rooted.select("key", "root").join(tops, "root").select("key", "component_id"), texts)
     dropped(met, met_by)
     return prints.join(known, "key").select("doc_id", "component_id")
 

@@ -210,6 +210,32 @@ def test_simhash_similar(spark, monkeypatch, block):
     assert kept == set(label)
 
 
+def test_near_copies_files(spark, monkeypatch):
+    """With many shuffle partitions, small steps don't make a file for each of them."""
+    base = [f"f{i}" for i in range(60)]
+    texts = [" ".join(base), *(" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(0, 60, 7)), "another one", None]
+    made = []
+
+    def held(df, *rows, plain=simhash.cut):
+        out = plain(df, *rows)
+        made.append(out.rdd.getNumPartitions())
+        return out
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "cut", held)
+    put = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(make(spark, texts), 64, 5, 0.8).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 if i < len(texts) - 2 else i for i in range(len(texts))}
+    assert len(made) > 20 and sum(n > 4 for n in made) <= 8, made
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
